@@ -11,6 +11,8 @@ Rates are rounded to whole copies: every document has the whole part, and one
 copy more goes to those whose hashed id lies below a threshold of their source,
 found by refining distributed histograms. Then single copies are added or taken
 away, one per source and round, where that brings the words nearer the target.
+What is still missing or too much after that, less than any whole copy can
+mend, is taken as part of a copy of one document of the source (``partial``).
 
 Only scalars reach the driver. Defined results: null text has size 0; null is a
 source of its own, the last one; a source without words has target 0 and no
@@ -70,8 +72,8 @@ def tilts(target: DataFrame) -> DataFrame:
     return target.withColumn("rate", F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.exp(steps)).otherwise(0.0))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, rate, copies, taken (= copies * size)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, partial: bool = True) -> DataFrame:
+    """One row per row of ``docs``: id, size, source_size, target, rate, copies, taken (copies * size, and the words of a partial copy)."""
     sized = materialize(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     plan = materialize(tilts(targets(sized, weights, share, cap)), "mix-plan").withColumnRenamed("source", "s")
     bits = CELL_BITS * LEVELS
@@ -95,8 +97,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         state = materialize(state.alias("a").join(found.alias("b"), F.col("a.s").eqNullSafe(F.col("b.s")), "left").select("a.s", F.coalesce("next", "below").alias("below"), F.coalesce("left", "need").alias("need")), "mix-state")
     copies = F.least(F.lit(cap), F.col("base") + (F.col("draw") < F.col("below")).cast("long"))
     rows = rows.join(state, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", F.greatest(F.lit(0), copies).cast("long")).drop("s", "below", "need", "base")
-    rows = materialize(_corrected(materialize(rows, "mix-copies"), cap), "mix-result")
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    rows = _corrected(materialize(rows, "mix-copies"), cap).withColumn("taken", F.col("copies") * F.col("size"))
+    if partial:
+        rows = _topped_up(rows, cap)
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", "taken")
+
+
+def _topped_up(rows: DataFrame, cap: float) -> DataFrame:
+    """In each source, take what is missing from the smallest document with room for it, or leave out what is too much of one."""
+    missing = rows.groupBy("source").agg(F.round(F.first("target") - F.sum("taken")).cast("long").alias("missing")).withColumnRenamed("source", "s").filter("missing <> 0")
+    near = rows.join(materialize(missing, "mix-missing"), F.col("source").eqNullSafe(F.col("s")))
+    room = F.when(F.col("missing") > 0, F.col("size") * cap - F.col("taken")).otherwise(F.col("taken"))
+    best = near.filter(room >= F.abs("missing")).groupBy("s").agg(F.min(F.struct("size", "draw", F.col("id").alias("at"))).alias("best"), F.first("missing").alias("part"))
+    best = materialize(best.select("s", F.col("best.draw").alias("d"), "best.at", "part"), "mix-best")
+    same = F.col("source").eqNullSafe(F.col("s")) & F.col("id").eqNullSafe(F.col("at")) & (F.col("draw") == F.col("d"))
+    return rows.join(best, same, "left").withColumn("taken", F.col("taken") + F.coalesce("part", F.lit(0)))
 
 
 def _corrected(rows: DataFrame, cap: float) -> DataFrame:

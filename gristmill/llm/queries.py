@@ -6,31 +6,55 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_pack, op6_mix, op9_exact
+from . import op1_fingerprint, op2_substring, op3_pack, op4_quality, op6_mix, op8_forest, op9_exact
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_fingerprint.fingerprint_documents(documents(spark, sf_dir))
+
+
+def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_substring.remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+
+
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_pack.pack_documents(documents(spark, sf_dir))
 
 
+def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_forest.near_dedup(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_exact.exact_dedup(documents(spark, sf_dir)).drop("locator")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": op1_fingerprints,
+        "op2_remove_repeats": op2_remove_repeats,
         "op3_pack_sequences": op3_pack_sequences,
+        "op4_quality_scores": op4_quality_scores,
         "op6_mix_sources": op6_mix_sources,
+        "op8_near_dedup": op8_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
