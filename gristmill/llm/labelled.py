@@ -25,13 +25,12 @@ def sampled(df: DataFrame, id_col: str, most: int = MOST_LABELLED) -> DataFrame:
 
 
 def best_threshold(score: np.ndarray, label: np.ndarray) -> float:
-    """The cut of ``score`` with the fewest wrong labels, errors of each class weighing the same; between two scores."""
+    """The cut of ``score`` with the fewest wrong labels, between two scores; of equally good ones the widest gap's."""
     order = np.argsort(score)
     s, y = score[order], label[order]
-    pos, neg = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    wrong = np.r_[0, np.cumsum(y)] / pos + np.r_[(1 - y).sum(), (1 - y).sum() - np.cumsum(1 - y)] / neg
+    wrong = np.r_[0, np.cumsum(y)] + np.r_[(1 - y).sum(), (1 - y).sum() - np.cumsum(1 - y)]
     cuts = np.r_[s[0] - 1, (s[1:] + s[:-1]) / 2, s[-1] + 1]
-    ties = np.r_[False, s[1:] == s[:-1], False]
-    wrong[ties] = np.inf
-    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
-    return float(cuts[best[len(best) // 2]])
+    gap = np.r_[0, s[1:] - s[:-1], 0]
+    wrong[np.r_[False, gap[1:-1] == 0, False]] = np.inf
+    best = np.flatnonzero(wrong == wrong.min())
+    return float(cuts[best[np.argmax(gap[best])]])

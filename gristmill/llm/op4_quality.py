@@ -205,3 +205,19 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     scored = table.mapInArrow(run, "id long, score double")
     held = F.coalesce(fold("id", folds) == 0, F.lit(False))
     return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = FOLDS, cut: float = CUT, most: int = MOST_LABELLED) -> DataFrame:
+    """The rows of ``docs`` that score at least ``cut``, with all their columns; rows are scored where they are read."""
+    known = labels.select(F.col("doc_id").cast("long").alias("known_id")).distinct()
+    model = fit(feature_table(docs.join(known, F.col(id_col).cast("long") == F.col("known_id"), "left_semi"), id_col, text_col), labels, label_col, folds, most)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = buffers(b.column(at))
+            x = [features(data, off[i : j + 1]) for i, j in chunks(off)]
+            if x:
+                yield b.filter(pa.array(model.score(np.concatenate(x).astype(np.float64)) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from .store import fresh_path, materialize
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE = "spark.sql.streaming.stateStore"
+SETTINGS = {f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 SALT_ROWS = 512
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def sha256_hex(body: bytes) -> str:
@@ -55,8 +56,9 @@ def _digests(digest: Callable[[bytes], str]):
 def keyed_state(feed_path: str, feed_schema, spark: SparkSession, trigger_bytes: int = 64 << 30) -> DataFrame:
     """Run the stream over the feed to its end; one row per digest: keep_id, locator, group_size."""
     out, log = fresh_path(spark, "dedup-state"), fresh_path(spark, "dedup-log")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         stream = (
             spark.readStream.schema(feed_schema).option("maxBytesPerTrigger", trigger_bytes).parquet(feed_path)
@@ -68,10 +70,11 @@ def keyed_state(feed_path: str, feed_schema, spark: SparkSession, trigger_bytes:
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     rows = spark.read.schema(stream.schema).parquet(out)
     # an entry only ever grows, so its last state is its largest
     return rows.groupBy("digest").agg(F.max("keeper").alias("keeper"), F.max("group_size").alias("group_size")).select("digest", F.col("keeper.id").alias("keep_id"), F.col("keeper.locator").alias("locator"), "group_size")
@@ -123,6 +126,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return result.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("keep_locator").alias("locator"))
 
 
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of repeated rows, one."""
+    verdict = materialize(exact_dedup(docs, id_col, text_col), "dedup-verdict")
+    stay = verdict.filter("kept").groupBy(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha")).agg(F.count(F.lit(1)).alias("n"))
+    stay = materialize(stay, "dedup-stay")
+    several = stay.groupBy("kept_id").agg(F.sum("n").alias("n")).filter("n > 1")
+    same = F.col(id_col).eqNullSafe(F.col("kept_id"))
+    if several.isEmpty():
+        return docs.join(stay, same, "left_semi")
+    # rows that share an id: told apart by their text, of which one row stays
+    sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, UPPER.lower()).cast("binary"), 256)
+    return docs.join(stay, same & (sha == F.col("kept_sha")), "left_semi").dropDuplicates([id_col, text_col]).withColumn("sha", sha).dropDuplicates([id_col, "sha"]).select(docs.columns)
+
+
 def _regrouped(result: DataFrame, differ: DataFrame) -> DataFrame:
     """Rows under a shared digest whose bytes are not the kept text's: groups of their own, by SHA-256 and bytes."""
     differ = differ.withColumn("sha", F.sha2("body", 256))

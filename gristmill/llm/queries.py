@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_fingerprint, op2_substring, op3_pack, op4_quality, op6_mix, op8_forest, op9_exact
+from . import op1_fingerprint, op2_substring, op3_pack, op4_quality, op5_toxicity, op6_mix, op7_language, op8_forest, op9_exact, op10_chat
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,10 +35,18 @@ def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op5_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_language.identify(documents(spark, sf_dir))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_forest.near_dedup(documents(spark, sf_dir))
 
@@ -47,15 +55,22 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_exact.exact_dedup(documents(spark, sf_dir)).drop("locator")
 
 
+def op10_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_chat.parse_transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_remove_repeats": op2_remove_repeats,
         "op3_pack_sequences": op3_pack_sequences,
         "op4_quality_scores": op4_quality_scores,
+        "op5_toxicity_scores": op5_toxicity_scores,
         "op6_mix_sources": op6_mix_sources,
+        "op7_language_id": op7_language_id,
         "op8_near_dedup": op8_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_chat_turns": op10_chat_turns,
     }
 
 

@@ -96,11 +96,14 @@ def spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray = BLANK) -> tuple[n
     return s, e, np.searchsorted(s, rel)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, fold: bool = False, sep: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of the rows, and each row's first word (len rows + 1). ``fold``: A-Z count as a-z."""
+def word_hashes(data: np.ndarray, off: np.ndarray, fold: bool = False, sep: np.ndarray = BLANK, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of the rows, and each row's first word (len rows + 1). ``fold``: A-Z count as a-z.
+
+    With ``stems`` the hashes have a column for the word and one for each number of its first bytes.
+    """
     s, e, first = spans(data, off, sep)
     if not len(s):
-        return np.zeros(0, np.uint64), first
+        return np.zeros((0, 1 + len(stems)) if stems else 0, np.uint64), first
     seg = data[off[0] : off[-1]]
     value = VALUES[fold].copy()
     value[sep] = 0
@@ -109,7 +112,11 @@ def word_hashes(data: np.ndarray, off: np.ndarray, fold: bool = False, sep: np.n
     table = powers(int(size.max()) + 1)
     np.minimum(pos, size.max(), out=pos)
     with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(value[seg] * table[pos], s) + size.astype(np.uint64)), first
+        v = value[seg] * table[pos]
+        h = mix(np.add.reduceat(v, s) + size.astype(np.uint64))
+        if stems:
+            h = np.stack([h, *(mix(np.add.reduceat(np.where(pos < k, v, np.uint64(0)), s) + np.uint64(k << 32)) for k in stems)], axis=1)
+        return h, first
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
