@@ -658,11 +658,11 @@ _F = "OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN {0} PRECEDING AN
 
 @register(f"""
     SELECT event_id, CASE WHEN count(*) {_F.format(4)} = 5 THEN {r2(f"avg(value) {_F.format(4)}", 4)} END AS sma_5, CASE WHEN count(*) {_F.format(9)} = 10 THEN {r2(f"avg(value) {_F.format(9)} + 2 * stddev_pop(value) {_F.format(9)}", 4)} END AS bb_upper,
-        {r2(f"sum(value * (user_id + 1)) {_F.format('UNBOUNDED')} / sum(user_id + 1) {_F.format('UNBOUNDED')}", 4)} AS vwap FROM events""")
+        {r2(r2(f"sum(value * (event_id % 13 + 1)) {_F.format('UNBOUNDED')} / sum(event_id % 13 + 1) {_F.format('UNBOUNDED')}", 4))} AS vwap FROM events""")
 def sma_bollinger_vwap(spark, sf):
-    df = _events(spark, sf).withColumn("volume", F.col("user_id") + 1)
+    df = _events(spark, sf).withColumn("volume", F.col("event_id") % 13 + 1)
     out = finance.indicators(df, ["sma(5)", "bb(10)", "vwap"], "value", "event_id", "user_id", "volume")
-    return out.select("event_id", "sma_5", "bb_upper", "vwap")
+    return rounded(out, vwap=2).select("event_id", "sma_5", "bb_upper", "vwap")
 
 
 @register()
