@@ -24,13 +24,28 @@ def sampled(df: DataFrame, id_col: str, most: int = MOST_LABELLED) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(2**32)) < share)
 
 
-def best_threshold(score: np.ndarray, label: np.ndarray) -> float:
-    """The cut of ``score`` with the fewest wrong labels, between two scores; of equally good ones the widest gap's."""
-    order = np.argsort(score)
-    s, y = score[order], label[order]
-    wrong = np.r_[0, np.cumsum(y)] + np.r_[(1 - y).sum(), (1 - y).sum() - np.cumsum(1 - y)]
-    cuts = np.r_[s[0] - 1, (s[1:] + s[:-1]) / 2, s[-1] + 1]
-    gap = np.r_[0, s[1:] - s[:-1], 0]
-    wrong[np.r_[False, gap[1:-1] == 0, False]] = np.inf
-    best = np.flatnonzero(wrong == wrong.min())
-    return float(cuts[best[np.argmax(gap[best])]])
+def calibration(score: np.ndarray, label: np.ndarray, favour: float = 1.0, steps: int = 50) -> tuple[float, float]:
+    """Slope and offset of the logistic curve that turns a score into a probability (Platt's smoothed targets, Newton steps). ``favour``: how much more a positive row weighs."""
+    pos, neg = label.sum(), (1 - label).sum()
+    share = np.where(label > 0, favour, 1.0)
+    t = np.where(label > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    mid, wide = float(np.median(score)), float(np.std(score)) or 1.0
+    x = np.stack([(score - mid) / wide, np.ones(len(score))], axis=1)
+    w = np.array([1.0, np.log((pos + 1) / (neg + 1))])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((share * (np.logaddexp(0, z) - t * z)).sum() + 5e-3 * w[0] ** 2)
+
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (share * (p - t)) + [1e-2 * w[0], 0]
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + np.diag([1e-2, 1e-6])
+        step, size, now = np.linalg.solve(h, g), 1.0, loss(w)
+        while size > 1e-4 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    slope = max(float(w[0]) / wide, 1e-3)
+    return slope, float(w[1]) - slope * mid

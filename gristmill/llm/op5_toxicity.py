@@ -1,16 +1,17 @@
 """Toxicity scores by a convolutional text classifier.
 
 Words (runs of letters, A-Z as a-z) are hashed into a table of embeddings; a
-word's embedding is the sum of its own and those of its stems, its first four,
-five and six bytes, so that inflected forms share what was learned.
+word's embedding is the sum of its own and those of its stems, its first four to
+eight bytes where it is longer, so that inflected forms share what was learned.
 Filters of several widths slide over the embedded words, each keeps its largest
 response in the text, and a logistic unit adds these up. The network is trained
 in numpy with Adam; one channel of the embeddings starts from the words' shrunk
 log odds in the training rows.
 
-The scores' threshold is calibrated by language on training rows that the
-network was not fitted on. Language here is a guess from the text's own words,
-so that no column but the text enters a score; the threshold is moved to 0.5.
+The scores are calibrated by language on training rows that the network was
+not fitted on: a logistic curve each, whose threshold is 0.5. Language here is
+a guess from the text's own words, so that no column but the text enters a
+score.
 
 The fit uses at most MOST labelled rows of the training folds (whole texts);
 everything else covers all rows. Defined results: null and empty texts have no
@@ -28,17 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import best_threshold, fold, sampled
+from .labelled import calibration, fold, sampled
 from .textops import NO_LETTER, buffers, chunks, word_hashes
 
-FOLDS, CUT, MOST = 5, 0.5, 8_000
-BUCKETS, WIDTH, FILTERS, WIDTHS, STEMS = 1 << 16, 8, 8, (1, 2, 3), (4, 5, 6)
-PAD = BUCKETS  # a word of zeros between texts
+FOLDS, CUT, MOST, FAVOUR = 5, 0.5, 12_000, 3.0
+BUCKETS, WIDTH, FILTERS, WIDTHS, STEMS = 1 << 18, 8, 8, (1, 2, 3), (4, 5, 6, 7, 8)
+PAD = BUCKETS  # zeros: between texts, and for stems that a word does not have
 
 
 def word_ids(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     h, first = word_hashes(data, off, fold=True, sep=NO_LETTER, stems=STEMS)
-    ids = (h >> np.uint64(40)).astype(np.int64) % BUCKETS
+    ids = np.where(h == 0, PAD, (h >> np.uint64(40)).astype(np.int64) % BUCKETS)
     return [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
@@ -59,7 +60,7 @@ class Network:
             k[:, 0, :] = np.abs(k[:, 0, :]) + 0.5 / w
             self.p[f"k{w}"], self.p[f"b{w}"] = k, np.full(FILTERS, -0.2)
         self.base, self.fitted = None, False
-        self.shift: dict[int, float] = {}
+        self.curve: dict[int, tuple[float, float]] = {}
         self.lang = np.zeros((BUCKETS + 1, 0), np.float32)
 
     def forward(self, ids: np.ndarray, start: np.ndarray, keep: bool = False):
@@ -132,9 +133,10 @@ class Network:
 
     def start(self, texts: list[np.ndarray], y: np.ndarray) -> None:
         """The first channel: each word's and stem's log odds between the classes, shrunk by how few texts have it."""
-        n = np.zeros((2, BUCKETS))
+        n = np.zeros((2, BUCKETS + 1))
         for t, label in zip(texts, y, strict=True):
             n[int(label), np.unique(t)] += 1
+        n = n[:, :BUCKETS]
         rate = (n + 0.5) / (np.array([[(y == 0).sum()], [(y == 1).sum()]]) + 1)
         seen = n.sum(axis=0)
         self.p["e"][:BUCKETS, 0] = np.log(rate[1] / rate[0]) * seen / (seen + 8) / (1 + len(STEMS)) * 2
@@ -155,25 +157,25 @@ class Network:
         return np.add.reduceat(self.lang[ids[:, 0]], start, axis=0).argmax(axis=1)
 
     def calibrate(self, texts: list[np.ndarray], y: np.ndarray, least: int = 15) -> None:
-        """A threshold for each guessed language with enough rows of both classes; one for all others."""
+        """A curve for each guessed language with enough rows of both classes; one for all others."""
         if not self.fitted or not len(y) or y.min() == y.max():
             return
         ids, start = _joined(texts)
         z, guess = self.forward(ids, start), self.guesses(ids, start)
-        every = best_threshold(z, y)
-        self.shift = {-1: every}
+        self.curve = {-1: calibration(z, y, FAVOUR)}
         for lang in np.unique(guess):
             own = guess == lang
             if min(y[own].sum(), (1 - y[own]).sum()) >= least:
-                self.shift[int(lang)] = best_threshold(z[own], y[own])
+                self.curve[int(lang)] = calibration(z[own], y[own], FAVOUR)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         if not self.fitted:
             return np.full(len(texts), self.base or 0.0)
         ids, start = _joined(texts)
         z = self.forward(ids, start)
-        if self.shift:
-            z = z - np.array([self.shift.get(int(k), self.shift[-1]) for k in self.guesses(ids, start)])
+        if self.curve:
+            slope, offset = np.array([self.curve.get(int(k), self.curve[-1]) for k in self.guesses(ids, start)]).T
+            z = slope * z + offset
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def packed(self) -> Network:
@@ -191,12 +193,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = buffers(b["text"])
-            raw = [x.astype(np.uint16).tobytes() for i, j in chunks(off) for x in word_ids(data, off[i : j + 1])]
+            raw = [x.astype(np.int32).tobytes() for i, j in chunks(off) for x in word_ids(data, off[i : j + 1])]
             yield pa.RecordBatch.from_arrays([b["id"], b["lang"], b["y"], pa.array(raw, pa.binary())], names=["id", "lang", "y", "words"])
 
     # the join keeps at most about `most` rows
     rows = own.join(known, "id").select("id", "lang", "y", "text").mapInArrow(run, "id long, lang string, y int, words binary").dropDuplicates(["id", "y"]).toPandas().sort_values(["id", "y"])
-    texts = [np.frombuffer(x, np.uint16).astype(np.int64).reshape(-1, 1 + len(STEMS)) for x in rows["words"]]
+    texts = [np.frombuffer(x, np.int32).reshape(-1, 1 + len(STEMS)) for x in rows["words"]]
     y, langs = rows["y"].to_numpy(np.float64), [x if isinstance(x, str) else None for x in rows["lang"]]
     model = Network()
     aside = np.random.default_rng(2).random(len(y)) < 0.25

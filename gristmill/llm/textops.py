@@ -99,7 +99,7 @@ def spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray = BLANK) -> tuple[n
 def word_hashes(data: np.ndarray, off: np.ndarray, fold: bool = False, sep: np.ndarray = BLANK, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word of the rows, and each row's first word (len rows + 1). ``fold``: A-Z count as a-z.
 
-    With ``stems`` the hashes have a column for the word and one for each number of its first bytes.
+    With ``stems`` the hashes have a column for the word and one for each number of its first bytes, 0 for words that are no longer than that.
     """
     s, e, first = spans(data, off, sep)
     if not len(s):
@@ -115,7 +115,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray, fold: bool = False, sep: np.n
         v = value[seg] * table[pos]
         h = mix(np.add.reduceat(v, s) + size.astype(np.uint64))
         if stems:
-            h = np.stack([h, *(mix(np.add.reduceat(np.where(pos < k, v, np.uint64(0)), s) + np.uint64(k << 32)) for k in stems)], axis=1)
+            h = np.stack([h, *(np.where(size > k, mix(np.add.reduceat(np.where(pos < k, v, np.uint64(0)), s) + np.uint64(k << 32)), np.uint64(0)) for k in stems)], axis=1)
         return h, first
 
 
