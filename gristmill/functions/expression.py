@@ -288,14 +288,14 @@ def _null_if(a: list[Val]) -> Val:
 
 
 def _bytes(v: Column) -> Column:
-    n = F.least(F.greatest(F.floor(F.log(F.lit(1024.0), F.greatest(v, F.lit(1.0))) + 1e-12), F.lit(0)), F.lit(len(BYTE_UNITS) - 1)).cast("int")
+    n = F.least(F.greatest(F.floor(F.log(1024.0, F.greatest(v, F.lit(1.0))) + 1e-12), F.lit(0)), F.lit(len(BYTE_UNITS) - 1)).cast("int")
     size = co.half_up(v / F.pow(F.lit(1024.0), n), 2)
     return F.concat(F.regexp_replace(F.format_string("%.2f", size), r"\.?0+$", ""), F.lit(" "), F.element_at(F.array(*map(F.lit, BYTE_UNITS)), n + 1))
 
 
 def _parse_bytes(s: Column) -> Column:
     unit = F.upper(F.regexp_extract(s, r"(?i)^\s*[\d.]+\s*([KMGTP]?)I?B?\s*$", 1))
-    power = F.locate(unit, F.lit("KMGTP"))
+    power = F.instr(F.lit("KMGTP"), unit)
     return F.regexp_extract(s, r"(?i)^\s*([\d.]+)\s*[KMGTP]?I?B?\s*$", 1).try_cast("double") * F.pow(F.lit(1024.0), F.when(unit == "", 0).otherwise(power))
 
 

@@ -74,7 +74,7 @@ def read_csv(spark: SparkSession, path, delimiter: str | None = None, header: bo
         raise ArgumentError(f"unknown error policy {on_error!r}")
     line = _first_line(spark, path)
     sep = delimiter or delimiter_of(line)
-    reader = spark.read.options(header=header, sep=sep, quote='"', escape='"', multiLine=True, mode=mode, enforceSchema=False, columnNameOfCorruptRecord=CORRUPT, **options)
+    reader = spark.read.options(header=header, sep=sep, quote='"', escape='"', multiLine=True, mode=mode, columnNameOfCorruptRecord=CORRUPT, **options)
     df = reader.csv(path)
     names = [re.sub(r"^﻿", "", c).strip() for c in df.columns]
     names = [f"col_{i + 1}" if not n or re.fullmatch(r"_c\d+", n) else n for i, n in enumerate(names)]
@@ -95,7 +95,8 @@ def read_csv(spark: SparkSession, path, delimiter: str | None = None, header: bo
 
 
 def split_errors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and a dead-letter table: message and the raw record."""
+    """Good rows, and a dead-letter table: message and the raw record. The parsed rows are kept, as Spark cannot read the raw records alone."""
+    df = df.persist()
     bad = df.filter(F.col(CORRUPT).isNotNull()).select(F.current_timestamp().alias("timestamp"), F.lit("ParseError").alias("errorType"), F.lit("the record does not fit the header").alias("message"), F.col(CORRUPT).alias("raw"))
     return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), bad
 
