@@ -129,8 +129,8 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, h
     """Rows whose strings are alike enough; with ``best`` the most alike of the right side only.
 
     Distinct strings are compared, not rows, so repeats on either side cost
-    nothing. Levenshtein and bigram scores are blocked without losing a pair:
-    strings whose lengths differ by more than the threshold allows never meet.
+    nothing. Strings meet only if they can be alike: lengths within what the
+    threshold allows, or something in common. No pair above it is lost.
     """
     norm = (lambda c: F.lower(F.trim(c))) if normalise else (lambda c: c)
     own = left.select(*(quoted(c) for c in left.columns), norm(quoted(left_on).cast("string")).alias("_a"))
@@ -143,14 +143,13 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, h
         b = b.withColumn("_n", F.length("_b"))
         reach = F.sequence(F.ceil(F.length("_a") * threshold - 1e-9).cast("int"), F.floor(F.length("_a") / threshold + 1e-9).cast("int"))
         pairs = a.withColumn("_n", F.explode(reach)).join(b, "_n").drop("_n")
-    elif method in ("jaccard", "soundex"):
-        key = bigrams if method == "jaccard" else lambda c: F.array(soundex(c))
+    elif threshold > 0:
+        # alike strings share a bigram, a code, or (Jaro) a character
+        key = {"jaccard": bigrams, "soundex": lambda c: F.array(soundex(c)), "jaro-winkler": lambda c: F.array_distinct(F.split(c, ""))}[method]
         short = lambda c: F.when(F.length(c) < 2, F.array(c)).otherwise(key(c)) if method == "jaccard" else key(c)
         pairs = a.withColumn("_k", F.explode(short(F.col("_a")))).join(b.withColumn("_k", F.explode(short(F.col("_b")))), "_k").select("_a", "_b").distinct()
-        if method == "jaccard" and threshold <= 0:
-            pairs = a.join(b, F.lit(True))
     else:
-        pairs = a.join(b, F.lit(True))  # nothing to block by: every string is a query against all
+        pairs = a.join(b, F.lit(True))  # with no threshold every pair is asked for
     scored = pairs.withColumn("_s", SCORES[method](F.col("_a"), F.col("_b"))).filter(F.col("_s") >= threshold)
     if best:
         scored = scored.groupBy("_a").agg(F.min(F.struct((-F.col("_s")).alias("m"), "_b")).alias("x")).select("_a", F.col("x._b").alias("_b"), (-F.col("x.m")).alias("_s"))

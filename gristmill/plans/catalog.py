@@ -275,12 +275,12 @@ def sample_rows(spark, sf):
 # -- joins and unions -----------------------------------------------------------------------------------------
 
 _CUST = "SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_nationkey END AS c_nationkey FROM customer"
-_NAT = "SELECT CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey END AS n_nationkey, n_name, n_regionkey AS c_name FROM nation WHERE n_nationkey % 3 <> 1"
+_NAT = "SELECT CASE WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 3 = 1 THEN n_nationkey + 100 ELSE n_nationkey END AS n_nationkey, n_name, n_regionkey AS c_name FROM nation"
 
 
 def _sides(spark, sf):
     c = table(spark, sf, "customer").selectExpr("c_custkey", "c_name", "case when c_custkey % 10 = 0 then null else c_nationkey end as c_nationkey")
-    n = table(spark, sf, "nation").filter("n_nationkey % 3 <> 1").selectExpr("case when n_nationkey % 5 = 0 then null else n_nationkey end as n_nationkey", "n_name", "n_regionkey as c_name")
+    n = table(spark, sf, "nation").selectExpr("case when n_nationkey % 5 = 0 then null when n_nationkey % 3 = 1 then n_nationkey + 100 else n_nationkey end as n_nationkey", "n_name", "n_regionkey as c_name")
     return c, n
 
 
@@ -312,28 +312,21 @@ def join_three(spark, sf):
 
 
 @register(f"""
-    WITH a AS (SELECT DISTINCT p_name AS name, lower(trim(p_name)) AS a FROM part WHERE p_partkey <= 100), b AS (SELECT DISTINCT p_name AS other, lower(trim(p_name)) AS b FROM part WHERE p_partkey > 100 AND p_partkey <= 300),
-    s AS (SELECT *, 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE AS s FROM a, b),
-    t AS (SELECT * FROM s WHERE s >= 0.6 QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) = 1)
-    SELECT a.name, t.other, {r2("t.s", 4)} AS _score FROM a LEFT JOIN t USING (a)""")
+    WITH s AS (SELECT s_name, c_name, 1 - levenshtein(lower(trim(s_name)), lower(trim(c_name))) / greatest(length(trim(s_name)), length(trim(c_name)))::DOUBLE AS s FROM supplier, customer),
+    t AS (SELECT * FROM s WHERE s >= 0.6 QUALIFY row_number() OVER (PARTITION BY s_name ORDER BY s DESC, lower(trim(c_name))) = 1)
+    SELECT supplier.s_name, t.c_name, {r2("t.s", 4)} AS _score FROM supplier LEFT JOIN t USING (s_name)""")
 def fuzzy_levenshtein(spark, sf):
-    p = table(spark, sf, "part")
-    a = p.filter("p_partkey <= 100").select(F.col("p_name").alias("name")).distinct()
-    b = p.filter("p_partkey > 100 and p_partkey <= 300").select(F.col("p_name").alias("other")).distinct()
-    return joins.fuzzy_join(a, b, "name", "other", threshold=0.6)
+    return joins.fuzzy_join(table(spark, sf, "supplier").select("s_name"), table(spark, sf, "customer").select("c_name"), "s_name", "c_name", threshold=0.6)
 
 
 _BIGRAM = "list_distinct([substr({0}, i, 2) FOR i IN range(1, length({0}))])"
 
 
 @register(f"""
-    WITH p AS (SELECT a.n_name AS a, b.n_name AS b FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey),
-    g AS (SELECT a, b, {_BIGRAM.format('a')} AS x, {_BIGRAM.format('b')} AS y FROM p)
-    SELECT a, b, {r2("len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE", 4)} AS score FROM g""")
+    WITH g AS (SELECT p_partkey, {_BIGRAM.format('p_name')} AS x, {_BIGRAM.format('p_type')} AS y FROM part)
+    SELECT p_partkey, {r2("len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE", 4)} AS score FROM g""")
 def jaccard_bigram(spark, sf):
-    n = table(spark, sf, "nation")
-    p = n.select("n_nationkey", F.col("n_name").alias("a")).join(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("b")), F.col("n_nationkey") < F.col("k"))
-    return p.select("a", "b", up(joins.jaccard(F.col("a"), F.col("b")), 4).alias("score"))
+    return table(spark, sf, "part").select("p_partkey", up(joins.jaccard(F.col("p_name"), F.col("p_type")), 4).alias("score"))
 
 
 @register()
@@ -395,13 +388,12 @@ def window_moving(spark, sf):
 
 # -- diff -----------------------------------------------------------------------------------------------------------
 
-_NEW = "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 17 <> 0 UNION ALL SELECT o_orderkey + 100000000, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 19 = 0"
+_NEW = "SELECT CASE WHEN o_orderkey % 17 = 0 THEN o_orderkey + 100000000 ELSE o_orderkey END AS o_orderkey, o_custkey, CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders"
 
 
 def _changes(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    kept = o.filter("o_orderkey % 17 <> 0").selectExpr("o_orderkey", "o_custkey", "case when o_orderkey % 11 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice", "case when o_orderkey % 13 = 0 then 'X' else o_orderstatus end as o_orderstatus")
-    new = kept.unionByName(o.filter("o_orderkey % 19 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 100000000))
+    new = o.selectExpr("case when o_orderkey % 17 = 0 then o_orderkey + 100000000 else o_orderkey end as o_orderkey", "o_custkey", "case when o_orderkey % 11 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice", "case when o_orderkey % 13 = 0 then 'X' else o_orderstatus end as o_orderstatus")
     return diff.diff(o, new, "o_orderkey")
 
 
@@ -434,13 +426,13 @@ def resample_day(spark, sf):
     return rounded(out, avg_value=3).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-_HOURS = "SELECT date_trunc('hour', ts) AS t, sum(value) AS v, count(*) AS n FROM events WHERE user_id = 1 GROUP BY 1"
-_SPINE = "SELECT unnest(generate_series((SELECT min(t) FROM h), (SELECT max(t) FROM h), INTERVAL 1 HOUR)) AS t"
+_HOURS = "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS t, sum(value) AS v, count(*) AS n FROM events GROUP BY 1"
+_SPINE = "SELECT unnest(generate_series((SELECT min(t) FROM h), (SELECT max(t) FROM h), INTERVAL 5 MINUTE)) AS t"
 
 
 @register(f"WITH h AS ({_HOURS}), s AS ({_SPINE}) SELECT s.t AS ts, {r2('last_value(v IGNORE NULLS) OVER (ORDER BY s.t)', 3)} AS v FROM s LEFT JOIN h ON s.t = h.t")
 def gapfill_ffill(spark, sf):
-    out = timeseries.resample(table(spark, sf, "events").filter("user_id = 1"), "ts", "1h", "sum(value) as v", fill="ffill")
+    out = timeseries.resample(table(spark, sf, "events"), "ts", "5m", "sum(value) as v", fill="ffill")
     return rounded(out, v=3).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -450,7 +442,7 @@ def gapfill_ffill(spark, sf):
         WINDOW b AS (ORDER BY t), f AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
     SELECT t AS ts, {r2("CASE WHEN v IS NOT NULL THEN v ELSE v0 + (v1 - v0) * (epoch_ms(t) - k0) / (k1 - k0) END", 3)} AS v FROM w""")
 def gapfill_linear(spark, sf):
-    out = timeseries.resample(table(spark, sf, "events").filter("user_id = 1"), "ts", "1h", "sum(value) as v", fill="linear")
+    out = timeseries.resample(table(spark, sf, "events"), "ts", "5m", "sum(value) as v", fill="linear")
     return rounded(out, v=3).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
