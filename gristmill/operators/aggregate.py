@@ -166,3 +166,13 @@ def unpivot(df: DataFrame, index: Iterable[str], values: Iterable[str] | None =
         df = df.withColumns({c: quoted(c).cast("double") if numeric else co.text(quoted(c), co.kind_of(df.schema[c].dataType)) for c in names})
     out = df.unpivot([quoted(c) for c in index], [quoted(c) for c in names], variable, value)
     return out.filter(quoted(value).isNotNull()) if drop_null else out
+
+
+def distinct_sketches(df: DataFrame, column: str, by: Iterable[str] = (), precision: int = 12) -> DataFrame:
+    """A HyperLogLog sketch of a column's values by group, to be kept and merged later."""
+    return df.groupBy(*(quoted(c) for c in by)).agg(F.hll_sketch_agg(quoted(column), F.lit(precision)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: Iterable[str] = ()) -> DataFrame:
+    """Estimated distinct values of the union of sketches."""
+    return sketches.groupBy(*(quoted(c) for c in by)).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))

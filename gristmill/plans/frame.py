@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.expression import compile_value
 from ..operators import aggregate, business, cluster, diff, finance, joins, ordering, profile, rows, setops, statistics, text, timeseries, windows
 from ..sources import readers, writers
 
@@ -64,6 +65,14 @@ class Frame:
     def pipe(self, f: Callable, *args, **how) -> Frame:
         return self._next(getattr(f, "__name__", "pipe"), self.df.transform(f, *args, **how), args, how)
 
+    def observed(self, specs: str = "rows = count()"):
+        """The frame and an observation: aggregates of the rows that passed this point, known once an action has run. Costs no pass of its own."""
+        from pyspark.sql import Observation
+
+        seen = Observation()
+        made = [aggregate.aggregate(fn, compile_value(arg, self.df.schema) if arg else None).alias(alias) for alias, fn, arg in aggregate.parse_specs(specs)]
+        return self._next("observed", self.df.observe(seen, *made), (specs,)), seen
+
     def to(self, path: str, **options) -> None:
         writers.write(self.df, path, **options)
 

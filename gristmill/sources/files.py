@@ -181,3 +181,14 @@ def read_folder(spark: SparkSession, root: str, include: Iterable[str] = (), exc
     given = {"path": os.path.abspath(root), "include": ";".join(include), "exclude": ";".join(exclude), **({"hash": hash} if hash else {}), **{k: str(v).lower() for k, v in options.items()}}
     df = spark.read.format("folder").options(**given).load()
     return df.drop("accessed_at") if deterministic else df
+
+
+#: Columns that differ between copies of the same folder.
+TIMES = ("path", "directory", "created_at", "modified_at", "accessed_at")
+
+
+def diff_folders(spark: SparkSession, left: str, right: str, hash: str | None = "sha256", **options) -> DataFrame:
+    """The keyed diff of two folders by relative path, without places and times."""
+    from ..operators.diff import diff
+
+    return diff(read_folder(spark, left, hash=hash, **options), read_folder(spark, right, hash=hash, **options), "relative_path", ignore=TIMES)

@@ -193,3 +193,20 @@ def test_streams(spark, tmp_path):
     assert sorted((r.k, r.total, r.n) for r in spark.table("totals").collect()) == [("a", 8.0, 2), ("b", 10.0, 1)]
     batch = spark.read.parquet(src)
     assert windowed(batch, "ts", "10 minutes", "n = count()", session=True).count() == 2
+
+
+def test_small_things(spark, tmp_path):
+    from gristmill.operators.aggregate import distinct_sketches, merge_sketches
+    from gristmill.sources import charts
+
+    frame, seen = Frame.rows(spark, [(1, 5.0), (2, 7.0), (3, None)], "id long, v double").observed("n = count(), s = sum(v)")
+    assert frame.count() == 3 and seen.get == {"n": 3, "s": 12.0}
+    assert charts.sparkline([1, 2, 3]) == "▁▄█" and charts.bar_chart([("a", 2), ("bb", 1)], 4).splitlines()[0] == " a  ████  2"
+    assert len(charts.histogram_chart(frame.df, "v", 4).splitlines()) == 4
+    df = spark.range(5000).withColumn("g", F.col("id") % 3)
+    assert merge_sketches(distinct_sketches(df, "id", ["g"])).first()["distinct"] == pytest.approx(5000, rel=0.08)
+    for name, text in (("l", "same"), ("r", "same")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.txt").write_text(text)
+    (tmp_path / "r" / "b.txt").write_text("new")
+    assert {r.relative_path: r.change_type for r in files.diff_folders(spark, str(tmp_path / "l"), str(tmp_path / "r")).collect()} == {"a.txt": "unchanged", "b.txt": "added"}
