@@ -190,15 +190,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = buffers(b["text"])
-            raw = [x.astype(np.int32).tobytes() for i, j in chunks(off) for x in word_ids(data, off[i : j + 1])]
-            yield pa.RecordBatch.from_arrays([b["id"], b["lang"], b["y"], pa.array(raw, pa.binary())], names=["id", "lang", "y", "words"])
-
-    # the join keeps at most about `most` rows
-    rows = own.join(known, "id").select("id", "lang", "y", "text").mapInArrow(run, "id long, lang string, y int, words binary").dropDuplicates(["id", "y"]).toPandas().sort_values(["id", "y"])
-    texts = [np.frombuffer(x, np.int32).reshape(-1, 1 + len(STEMS)) for x in rows["words"]]
+    # the join keeps at most about `most` rows; their texts are smaller than their words' numbers
+    rows = own.join(known, "id").select("id", "lang", "y", "text").dropDuplicates(["id", "y"]).toPandas().sort_values(["id", "y"])
+    data, off = buffers(pa.array(rows["text"], pa.string()))
+    texts = [x.astype(np.int32) for i, j in chunks(off) for x in word_ids(data, off[i : j + 1])]
     y, langs = rows["y"].to_numpy(np.float64), [x if isinstance(x, str) else None for x in rows["lang"]]
     model = Network()
     aside = np.random.default_rng(2).random(len(y)) < 0.25
