@@ -74,8 +74,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Equal to a flagged window anywhere earlier; documents' ids are distinct.
+REPEATS = r"""
+            WITH w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+                 k AS (SELECT doc_id, i, word, string_agg(word, ' ') OVER f AS key, count(*) OVER f AS n FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+                 s AS (SELECT doc_id, i, word, n = 20 AND row_number() OVER (PARTITION BY n = 20, key ORDER BY doc_id, i) > 1 AS again FROM k),
+                 g AS (SELECT doc_id, i, word, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM s),
+                 a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS t FROM g GROUP BY doc_id)
+            SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id"""
+
+LINKED = r"""
+            WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+                 v AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i, len(ws) AS m FROM w),
+                 k AS (SELECT doc_id, m, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS n, i FROM v WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+                 s AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM k WHERE n = 5 OR (m < 5 AND i = 0)),
+                 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+                 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+                 l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+                 r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+                 g AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+            SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, coalesce(low, d.doc_id) >= d.doc_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN g ON g.a = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_remove_repeats": REPEATS,
+        "op8_near_dedup": LINKED,
         "op9_exact_dedup": f"""
             WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
                  g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
