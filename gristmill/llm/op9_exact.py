@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .store import fresh_path, materialize
 
 STATE = "spark.sql.streaming.stateStore"
-SETTINGS = {f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: Files are not allocated ahead of use: with many state partitions that alone takes gigabytes.
+SETTINGS = {f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{STATE}.rocksdb.allowFAllocate": "false"}
 SALT_ROWS = 512
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
