@@ -73,7 +73,7 @@ def test_toxicity(spark):
 def test_network_gradient():
     """The first step's change of the loss follows the numeric gradient of an embedding."""
     r = np.random.default_rng(0)
-    texts = [r.integers(0, 50, (8, 4)) for _ in range(6)]
+    texts = [r.integers(0, 50, (8, 1 + len(op5_toxicity.STEMS))) for _ in range(6)]
     net = op5_toxicity.Network()
     ids, start = op5_toxicity._joined(texts)
     z, h, where, x = net.forward(ids, start, keep=True)
