@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .labelled import calibration, fold, sampled
 from .textops import NO_LETTER, buffers, chunks, word_hashes
 
-FOLDS, CUT, MOST, FAVOUR = 5, 0.5, 12_000, 3.0
+FOLDS, CUT, MOST, FAVOUR = 5, 0.5, 10_000, 3.0
 BUCKETS, WIDTH, FILTERS, WIDTHS, STEMS = 1 << 18, 8, 8, (1, 2, 3), (4, 5, 6, 7, 8)
 PAD = BUCKETS  # zeros: between texts, and for stems that a word does not have
 
@@ -45,7 +45,7 @@ def word_ids(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
 
 def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' words with pads after each, and where each text begins."""
-    gap = np.full((max(WIDTHS), 1 + len(STEMS)), PAD)
+    gap = np.full((max(WIDTHS), 1 + len(STEMS)), PAD, np.int32)
     start = np.cumsum([0, *(len(t) + len(gap) for t in texts[:-1])])
     return np.concatenate([x for t in texts for x in (t, gap)]), start
 
@@ -160,8 +160,8 @@ class Network:
         """A curve for each guessed language with enough rows of both classes; one for all others."""
         if not self.fitted or not len(y) or y.min() == y.max():
             return
-        ids, start = _joined(texts)
-        z, guess = self.forward(ids, start), self.guesses(ids, start)
+        parts = (_joined(texts[at : at + 64]) for at in range(0, len(texts), 64))
+        z, guess = map(np.concatenate, zip(*((self.forward(*p), self.guesses(*p)) for p in parts), strict=True))
         self.curve = {-1: calibration(z, y, FAVOUR)}
         for lang in np.unique(guess):
             own = guess == lang
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # the join keeps at most about `most` rows; their texts are smaller than their words' numbers
     rows = own.join(known, "id").select("id", "lang", "y", "text").dropDuplicates(["id", "y"]).toPandas().sort_values(["id", "y"])
-    data, off = buffers(pa.array(rows["text"], pa.string()))
+    data, off = buffers(pa.array(rows.pop("text"), pa.string()))
     texts = [x.astype(np.int32) for i, j in chunks(off) for x in word_ids(data, off[i : j + 1])]
     y, langs = rows["y"].to_numpy(np.float64), [x if isinstance(x, str) else None for x in rows["lang"]]
     model = Network()
