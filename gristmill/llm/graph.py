@@ -1,24 +1,86 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table.
+
+Each round first contracts the edges of every partition by themselves, then
+sends every node's neighbours to the smallest of them (large-star and
+small-star steps). As soon as at most TASK_EDGES edges are left, one task ends
+the work, in memory bounded by that number; with more nodes than that the
+rounds go on until nothing changes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
 
+TASK_EDGES = 1_000_000
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the smallest node of each one's component, for edges in memory."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _contracted(most: int):
+    """Edges of a partition -> edges from each node to its smallest, stretch by stretch."""
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every endpoint; component is the smallest node that can be reached.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    Each step sends a node's neighbours to the smallest of them. Minima are
-    aggregated before the shuffle and joined back, so a node with very many
-    neighbours is never gathered in one task.
+        def settle() -> tuple[np.ndarray, np.ndarray]:
+            nodes, low = roots(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return nodes[nodes != low], low[nodes != low]
+
+        def out(x: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64())], names=["u", "v"])
+
+        for b in batches:
+            held.append((b["u"].to_numpy(), b["v"].to_numpy()))
+            if sum(len(x) for x, _ in held) > 2 * most:
+                held = [settle()]
+                if len(held[0][0]) > most:
+                    yield out(held[0])
+                    held = []
+        if held:
+            yield out(settle())
+
+    return run
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", task_edges: int = TASK_EDGES) -> DataFrame:
+    """(node, component) for every endpoint of an edge between two nodes; component is the smallest node that can be reached.
+
+    Minima are aggregated before the shuffle and joined back, so a node with
+    very many neighbours is never gathered in one task.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    e = materialize(e, "edges")
+    e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v"), "edges")
     before = None
     while True:
+        n = e.count()
+        local = _contracted(max(1, task_edges))
+        if n <= task_edges:
+            e = materialize(e.coalesce(1).mapInArrow(local, "u long, v long"), "edges")
+            break
+        e = materialize(e.mapInArrow(local, "u long, v long").distinct(), "edges")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -29,5 +91,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             break
         before = now
-    found = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return materialize(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "components")
