@@ -209,8 +209,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = FOLDS, cut: float = CUT, most: int = MOST_LABELLED) -> DataFrame:
     """The rows of ``docs`` that score at least ``cut``, with all their columns; rows are scored where they are read."""
-    known = labels.select(F.col("doc_id").cast("long").alias("known_id")).distinct()
-    model = fit(feature_table(docs.join(known, F.col(id_col).cast("long") == F.col("known_id"), "left_semi"), id_col, text_col), labels, label_col, folds, most)
+    # features of all rows, joined with the labels, are far smaller than the labelled rows' texts
+    model = fit(feature_table(docs, id_col, text_col), labels, label_col, folds, most)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
