@@ -115,7 +115,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verdict = feed.join(state.withColumnRenamed("locator", "keep_locator"), "digest")
 
     salts = F.greatest(F.lit(1), F.ceil(F.col("group_size") / SALT_ROWS)).cast("int")
-    member = verdict.filter("group_size > 1").select("id", "digest", "keep_id", "group_size").distinct()
+    # repeated rows are merged before the join, so that nothing above it needs a digest's rows in one task
+    member = feed.select("id", "digest").distinct().join(state.filter("group_size > 1").drop("locator"), "digest")
     stays = F.col("id").eqNullSafe(F.col("keep_id"))
     member = member.select(F.col("id").alias("member"), "digest", stays.alias("stays"), F.when(stays, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), salts).cast("int"))).alias("salts"))
     rows = own.join(member, F.col("id").eqNullSafe(F.col("member"))).select("id", "text", "digest", "stays", F.explode("salts").alias("salt"))
