@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .textops import chunks, buffers, doubled, mix, windows, word_hashes
 
-BLOCK_BYTES = 8 << 20
-EXTRA = 5  # bytes kept of a full window's hash, beside the 8 of its anchor's
+BLOCK_BYTES = 4 << 20
+EXTRA = 6  # bytes kept of a full window's hash, beside the 8 of its anchor's
 ENTRY = np.dtype([("anchor", "<u8"), ("extra", "<u8"), ("row", "<u4"), ("start", "<u4")])
 
 
@@ -91,6 +91,17 @@ def _message(n: int, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
 
+def _steps(x: np.ndarray) -> bytes:
+    """Differences, wrapping round."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    return out.tobytes()
+
+
+def _unstepped(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, kind, n, at), dtype=kind)
+
+
 def _sent(size: int, buckets: int):
     """Blocks of rows -> entries packed for each bucket of anchors, and what is flagged inside the block."""
 
@@ -115,8 +126,9 @@ def _sent(size: int, buckets: int):
             yield _message(n, kind=[1] * n, bucket=np.arange(n) % buckets, **f)
         e = e[new]
         bucket = (mix(e["anchor"]) % np.uint64(buckets)).astype(np.int64)
-        e = e[np.argsort(bucket, kind="stable")]
-        cut = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
+        order = np.lexsort((e["start"], e["row"], e["anchor"], bucket))
+        e = e[order]
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in range(buckets):
             part = e[cut[b] : cut[b + 1]]
             if not len(part):
@@ -125,11 +137,10 @@ def _sent(size: int, buckets: int):
             anchor = np.empty(len(head), np.dtype([("anchor", "<u8"), ("n", "<u4")]))
             anchor["anchor"], anchor["n"] = part["anchor"][head], np.diff(np.r_[head, len(part)])
             used, row = np.unique(part["row"], return_inverse=True)
-            rows = np.stack([ids[used], text[used]], axis=1).astype("<i8")
-            # column by column: the bytes of a column are alike, and compress
+            # column by column, places as steps from the one before: most are 0 and 1, and compress
             extra = np.ascontiguousarray(part["extra"].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :EXTRA])
-            body = extra.tobytes() + row.astype("<u4").tobytes() + part["start"].tobytes()
-            yield _message(1, kind=[0], bucket=[b], ids=[rows.tobytes()], entries=[anchor.tobytes()], windows=[body])
+            body = extra.tobytes() + _steps(row.astype("<u4")) + _steps(part["start"])
+            yield _message(1, kind=[0], bucket=[b], ids=[_steps(ids[used].astype("<u8")) + text[used].astype("<u4").tobytes()], entries=[anchor["anchor"].tobytes() + anchor["n"].tobytes()], windows=[body])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size_held = [], 0
@@ -160,7 +171,7 @@ def _received(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(f["id"], pa.int64()), pa.array(f["text_hash"], pa.int64()), pa.array(f["starts"], pa.binary())], names=["id", "text_hash", "starts"])
 
     def settle(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        head = [np.frombuffer(x, np.dtype([("anchor", "<u8"), ("n", "<u4")])) for _, x, _ in parts]
+        head = [{"anchor": np.frombuffer(x, "<u8", len(x) // 12), "n": np.frombuffer(x, "<u4", len(x) // 12, len(x) // 12 * 8)} for _, x, _ in parts]
         every, times = np.unique(np.concatenate([h["anchor"] for h in head]), return_counts=True)
         several = every[times > 1]  # level 1: a half window met in one block alone cannot be part of a repeat
         if not len(several):
@@ -171,14 +182,15 @@ def _received(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = int(h["n"].sum())
             full = np.zeros((n, 8), np.uint8)
             full[:, :EXTRA] = np.frombuffer(body, np.uint8, n * EXTRA).reshape(n, EXTRA)
-            row = np.frombuffer(body, "<u4", n, n * EXTRA).astype(np.int64)
-            own = np.frombuffer(ids, "<i8").reshape(-1, 2)
+            row = _unstepped(body, "<u4", n, n * EXTRA).astype(np.int64)
+            m = len(ids) // 12
+            own = np.stack([_unstepped(ids, "<u8", m, 0).astype(np.int64), np.frombuffer(ids, "<u4", m, m * 8).astype(np.int64)], axis=1)
             at = np.minimum(np.searchsorted(several, h["anchor"]), len(several) - 1)
             keep = np.repeat(several[at] == h["anchor"], h["n"])
             anchor.append(np.repeat(at, h["n"])[keep])
             extra.append(full.view("<u8").reshape(-1)[keep])
             doc.append(row[keep] + base)
-            start.append(np.frombuffer(body, "<u4", n, n * (EXTRA + 4))[keep])
+            start.append(_unstepped(body, "<u4", n, n * (EXTRA + 4))[keep])
             docs.append(own)
             base += len(own)
         table = np.concatenate(docs)
@@ -249,7 +261,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if size % 2 or size < 2:
         raise ValueError("the window must have an even number of words")
     least = -(2**63)
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(2**32)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     buckets = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = own.mapInArrow(_sent(size, buckets), MESSAGE)
     flagged = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_received, "id long, text_hash long, starts binary")
