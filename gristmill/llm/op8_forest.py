@@ -4,9 +4,11 @@ Each tree orders the documents by the same signature read from another place
 on. Documents that share a tree's first DEPTH values form a region. In a small
 region all pairs are candidates; a crowded one is read deeper, the more so the
 more documents it has, and then only neighbours in the sorted order, with the
-longest common prefixes, and the region's first document are. Pairs whose
-signatures are far from the threshold are not pursued. Components of candidates
-are then decided exactly on full shingle sets (see linkage).
+longest common prefixes, and the region's first document are at first. Pairs
+whose signatures are far from the threshold are not pursued. What this leaves
+apart in a crowded region is then compared completely: every member outside the
+region's main component with every member, on longer signatures. Components of
+candidates are then decided exactly on full shingle sets (see linkage).
 
 Documents with equal sets, and then with equal signatures, enter the forest
 once, so groups of copies cost what one document costs.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, roots
 from .linkage import confirmed, shingle_sets
 from .store import materialize
 from .textops import mix, permutations, signatures
@@ -35,6 +37,10 @@ TREES, DEPTH, LANES, SEED = 16, 4, 64, 8
 #: Candidates' estimated likeness may be this much below the threshold: four and a half standard errors of 64 lanes at 0.85.
 MARGIN = 0.20
 SMALL, CROWDED, NEIGHBOURS = 32, 512, 4
+#: In crowded regions: further lanes, and the margin of all lanes together (at least 4.4 standard errors at 0.80).
+MORE, FINE = 192, 0.11
+#: Members that a task compares with as many others, and how many of them at a time.
+BLOCK, STRIPE = 8192, 128
 
 
 def _scanned(k: int, fold: bool):
@@ -122,18 +128,117 @@ def _neighbours(least: float):
     return run
 
 
-def candidate_pairs(nodes: DataFrame, least: float) -> DataFrame:
-    """``nodes`` (id, sig) with distinct signatures -> candidate pairs (a, b)."""
+def region_members(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (id, sig) with distinct signatures -> (key, id, tree, members, hub), one row per node and region of at least two."""
     keys = nodes.select("id", "sig").mapInArrow(_keys, "id long, tree int, key long")
     regions = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("hub")).filter("members > 1")
+    return materialize(keys.join(regions, "key"), "forest-members")
+
+
+def candidate_pairs(nodes: DataFrame, member: DataFrame, least: float) -> DataFrame:
+    """Candidate pairs (a, b): all of small regions, neighbours of crowded ones."""
     low = nodes.select("id", "low")
-    member = materialize(keys.join(regions, "key"), "forest-members")
     member = member.join(low, "id").join(low.select(F.col("id").alias("hub"), F.col("low").alias("hub_low")), "hub")
     placed = member.select("key", "tree", "id", "members", "low", "hub", "hub_low").mapInArrow(_placed, "key long, id long, members long, low binary, hub long, hub_low binary, order binary, sub binary")
     rows = placed.repartition("key", "sub").sortWithinPartitions("key", "sub", "order", "id")
     return rows.mapInArrow(_neighbours(least), "a long, b long").distinct()
 
 
+def _more(k: int, fold: bool):
+    """One byte of each further lane's minimum."""
+    perms = permutations(MORE, SEED + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                sig = signatures(shingle_sets(part["text"], k, fold), perms).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array([x.tobytes() for x in sig], pa.binary())], names=["id", "more"])
+
+    return run
+
+
+def _planes(low: np.ndarray) -> np.ndarray:
+    """(rows, 64) bytes -> (3, rows) words, each of one bit of every lane."""
+    bits = (low[None] >> np.arange(3, dtype=np.uint8)[:, None, None]) & 1
+    return np.packbits(bits, axis=2).view(np.uint64)[..., 0]
+
+
+def _between(least: float, fine: float):
+    """Rows sorted by key, i and j -> edges (a, b) between the labels of members that are alike; chunk i of the region is compared with chunk j."""
+
+    def settle(i: int, j: int, chunk: np.ndarray, label: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        names, at = np.unique(label, return_inverse=True)
+        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        planes, low = _planes(np.ascontiguousarray(sig[:, :LANES])), sig[:, :LANES]
+        for s in range(0, len(left), STRIPE):
+            rows = left[s : s + STRIPE]
+            # lanes whose low bits differ: never more than lanes that differ
+            differ = planes[0][rows][:, None] ^ planes[0][right][None]
+            for p in planes[1:]:
+                differ |= p[rows][:, None] ^ p[right][None]
+            a, b = np.nonzero((LANES - np.bitwise_count(differ).astype(np.int16) >= least * LANES) & (at[rows][:, None] != at[right][None]))
+            a, b = rows[a], right[b]
+            for t in range(0, len(a), 1 << 16):
+                u, v = a[t : t + (1 << 16)], b[t : t + (1 << 16)]
+                apart = at[u] != at[v]
+                u, v = u[apart], v[apart]
+                good = (low[u] == low[v]).mean(axis=1) >= least
+                u, v = u[good], v[good]
+                good = (sig[u] == sig[v]).mean(axis=1) >= fine
+                if not good.any():
+                    continue
+                nodes, root = roots(at[u[good]], at[v[good]])
+                yield names[nodes[nodes != root]], names[root[nodes != root]]
+                to = np.arange(len(names))
+                to[nodes] = root
+                at = to[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            chunk, label, low, more = zip(*rows, strict=True)
+            sig = np.concatenate([np.frombuffer(b"".join(low), np.uint8).reshape(-1, LANES), np.frombuffer(b"".join(more), np.uint8).reshape(-1, MORE)], axis=1)
+            for a, b in settle(*at[1:], np.array(chunk), np.array(label), sig):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for key, i, j, *row in zip(*(b[c].to_pylist() for c in ("key", "i", "j", "chunk", "label", "low", "more")), strict=True):
+                if (key, i, j) != at and rows:
+                    yield from out()
+                    rows = []
+                at = (key, i, j)
+                rows.append(row)
+        if rows:
+            yield from out()
+
+    return run
+
+
+def crowded_pairs(own: DataFrame, nodes: DataFrame, member: DataFrame, label: DataFrame, least: float, fine: float, k: int, fold: bool) -> DataFrame | None:
+    """Edges (a, b) between the components ``label`` (node, component) that a crowded region's members link; None if there is nothing to compare.
+
+    Of each crowded region every member outside its largest component is
+    compared with every member, in chunks of about BLOCK rows.
+    """
+    where = member.filter(F.col("members") > SMALL).select("key", "id").join(label.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left")
+    where = materialize(where.withColumn("label", F.coalesce("label", "id")), "forest-where")
+    part = where.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("x"))
+    part = part.select("key", F.col("x.label").alias("main"), F.ceil((F.col("members") - F.col("x.n")) / BLOCK).alias("outer"), F.ceil(F.col("x.n") / BLOCK).alias("inner")).filter("outer > 0")
+    dealt = materialize(where.join(part, "key"), "forest-dealt")
+    if dealt.isEmpty():
+        return None
+    more = materialize(own.join(dealt.select("id").distinct(), "id").mapInArrow(_more(k, fold), "id long, more binary").distinct(), "forest-more")
+
+    outside, hash_ = F.col("label") != F.col("main"), F.xxhash64("id")
+    dealt = dealt.withColumn("chunk", F.when(outside, F.pmod(hash_, F.col("outer"))).otherwise(F.col("outer") + F.pmod(hash_, F.col("inner"))))
+    met = F.explode(F.sequence(F.lit(0).cast("long"), F.when(outside, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1))
+    rows = dealt.select("key", "id", "label", "chunk", met.alias("o")).select("key", "id", "label", "chunk", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"))
+    rows = rows.join(nodes.select("id", "low"), "id").join(more, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.select("key", "i", "j", "chunk", "label", "low", "more").mapInArrow(_between(least, fine), "a long, b long").distinct()
+
+
 def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One byte of each signature value, for estimates."""
     for b in batches:
@@ -152,8 +257,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = sets.join(twins, "sig").filter("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     # rows that share an id but not a set
     shared = scanned.filter("n > 0 and id is not null").select("id", "n", "one", "two").distinct().join(sets.select("n", "one", "two", "rep"), ["n", "one", "two"]).filter("id <> rep").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
-    pairs = materialize(candidate_pairs(nodes, num / den - MARGIN).unionByName(same), "forest-pairs")
-    links = confirmed(own, components(pairs), num, den, k, fold)
+    member = region_members(nodes)
+    pairs = materialize(candidate_pairs(nodes, member, num / den - MARGIN).unionByName(same), "forest-pairs")
+    found = components(pairs)
+    further = crowded_pairs(own, nodes, member, found, num / den - MARGIN, num / den - FINE, k, fold)
+    if further is not None:
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further))
+    links = confirmed(own, found, num, den, k, fold)
     label = components(links.unionByName(shared))
     of_set = sets.join(label, F.col("rep") == F.col("node"), "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component_id"))
     empty = scanned.filter("n = 0 or id is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import components, remove_repeats
+from brute import components, remove_repeats, shingle_set
 
 from gristmill.llm import op1_fingerprint, op2_substring, op3_pack, op6_mix, op8_forest, op9_exact
 
@@ -82,6 +82,26 @@ def test_near_dedup_of_crowded_groups(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in op8_forest.near_dedup(df).collect()} == components(rows, 85, 100)
 
 
+def test_near_dedup_of_a_shared_template(spark):
+    """Every document has the same template and one partner. The seed is one where neighbours in the order alone part a linked pair."""
+    r = random.Random(14)
+    template = [f"t{r.randrange(10**6)}" for _ in range(320)]
+    texts = []
+    for _ in range(700):
+        w = [f"w{r.randrange(10**6)}" for _ in range(80)]
+        for _ in range(2):
+            texts.append(" ".join(template + w))
+            for at in r.sample(range(4, 80, 6), 6):
+                w[at] = f"x{r.random()}"
+    ids = r.sample(range(10**6), len(texts))
+    sets = [shingle_set(t) for t in texts]
+    for a, b, c in zip(sets[0::2], sets[1::2], sets[2::2], strict=False):
+        assert 100 * len(a & b) >= 85 * len(a | b) and 100 * len(b & c) < 75 * len(b | c)
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    want = {i: min(pair) for pair in zip(ids[0::2], ids[1::2], strict=True) for i in pair}
+    assert {x.doc_id: x.component_id for x in op8_forest.near_dedup(df).collect()} == want
+
+
 def test_bands_and_jaccard(documents):
     got = {r.doc_id: r.component for r in op1_fingerprint.near_duplicates(documents).collect()}
     assert got == {i: c for i, (_, c) in components(pairs(documents), 80, 100).items()}
