@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..errors import ArgumentError
 from ..functions import coerce as co
@@ -57,6 +58,13 @@ def sort(df: DataFrame, keys: str | Iterable[str], **how) -> DataFrame:
     return df.orderBy(*sort_columns(df, keys, **how))
 
 
+def ranked(df: DataFrame, keys: str | Iterable[str], name: str = "place", **how) -> DataFrame:
+    """All rows with their place in the order, from 1; counted by partition, so no task holds the whole table."""
+    out = sort(df, keys, **how)
+    rows = out.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    return df.sparkSession.createDataFrame(rows, StructType([*out.schema.fields, StructField(name, LongType())]))
+
+
 def top(df: DataFrame, keys: str | Iterable[str], k: int, smallest: bool = False, tie: str | Iterable[str] = (), **how) -> DataFrame:
     """The k rows that a sort would put first, descending unless told; ``tie`` are further keys, ascending. Plans as a distributed top-k."""
     order = sort_columns(df, keys, default="asc" if smallest else "desc", **how)

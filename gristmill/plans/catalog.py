@@ -267,6 +267,18 @@ def sort_nulls_turned(spark, sf):
     return ordering.sort(df, "v:desc,event_id").limit(1500)
 
 
+@register("SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS place FROM customer")
+def sort_natural_whole(spark, sf):
+    df = table(spark, sf, "customer").select("c_custkey", "c_name", F.concat(F.lit("file"), F.col("c_custkey").cast("string")).alias("f"))
+    return ordering.ranked(df, "f", natural_order=True).select("c_custkey", "c_name", "place")
+
+
+@register("SELECT event_id, v, row_number() OVER (ORDER BY v DESC NULLS FIRST, event_id) AS place FROM (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS v FROM events)")
+def sort_nulls_turned_whole(spark, sf):
+    df = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("v"))
+    return ordering.ranked(df, "v:desc,event_id")
+
+
 @register()
 def sample_rows(spark, sf):
     return ordering.sample(table(spark, sf, "orders"), 500, seed=7)

@@ -47,6 +47,12 @@ def test_query(spark, sql, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name, source", [("sort_natural_whole", "customer"), ("sort_nulls_turned_whole", "events")])
+def test_whole_sorts_return_every_row(spark, sql, name, source):
+    (n,) = sql.execute(f"select count(*) from {source}").fetchone()
+    assert sorted(r.place for r in catalog.queries()[name](spark, SF).collect()) == list(range(1, n + 1))
+
+
 def test_entry_without_the_optional_subpackage(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = """
