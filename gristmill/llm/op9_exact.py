@@ -3,7 +3,7 @@
 A first pass reduces each text to a digest and writes a feed of (digest, id,
 locator). A structured stream reads the feed and keeps one entry per digest in
 a RocksDB state store on the executors' disks: the identifier that stays, the
-place its content was read from and the number of copies. The state has no
+file its content was read from and the number of copies. The state has no
 watermark and never expires. A digest that meets others is only a claim; the
 second pass compares the full bytes of every copy with those of the text that
 stays, and texts that differ under one digest are grouped by their own bytes.
@@ -28,6 +28,7 @@ STATE = "spark.sql.streaming.stateStore"
 #: Files are not allocated ahead of use: with many state partitions that alone takes gigabytes.
 SETTINGS = {f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{STATE}.rocksdb.allowFAllocate": "false"}
 SALT_ROWS = 512
+TRIGGER_BYTES = 64 << 30
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -54,7 +55,7 @@ def _digests(digest: Callable[[bytes], str]):
     return run
 
 
-def keyed_state(feed_path: str, feed_schema, spark: SparkSession, trigger_bytes: int = 64 << 30) -> DataFrame:
+def keyed_state(feed_path: str, feed_schema, spark: SparkSession, trigger_bytes: int = TRIGGER_BYTES) -> DataFrame:
     """Run the stream over the feed to its end; one row per digest: keep_id, locator, group_size."""
     out, log = fresh_path(spark, "dedup-state"), fresh_path(spark, "dedup-log")
     before = {k: spark.conf.get(k, None) for k in SETTINGS}
@@ -102,7 +103,7 @@ def _differing(digest: Callable[[bytes], str]):
     return run
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], str] = sha256_hex) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], str] = sha256_hex, trigger_bytes: int = TRIGGER_BYTES) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256, locator (where the text that stays was read)."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -111,7 +112,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = own.select("id", F.input_file_name().alias("locator"), "text").mapInArrow(_digests(digest), f"id {kind}, locator string, digest string, sha string, size long")
     made.write.parquet(path)
     feed = spark.read.schema(made.schema).parquet(path)
-    state = materialize(keyed_state(path, made.schema, spark), "dedup-keys")
+    state = materialize(keyed_state(path, made.schema, spark, trigger_bytes), "dedup-keys")
     verdict = feed.join(state.withColumnRenamed("locator", "keep_locator"), "digest")
 
     salts = F.greatest(F.lit(1), F.ceil(F.col("group_size") / SALT_ROWS)).cast("int")

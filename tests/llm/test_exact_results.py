@@ -259,6 +259,18 @@ def test_exact_dedup_compares_bytes(odd):
     assert got == exact_groups(odd)
 
 
+def test_exact_dedup_in_several_batches(spark, documents):
+    """A trigger below a file's size: state that one batch wrote is read and raised by later ones."""
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("dedup-state-*"))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in op9_exact.exact_dedup(documents.repartition(4), trigger_bytes=1).collect()}
+    assert got == exact_groups(documents)
+    (state,) = set(shared.glob("dedup-state-*")) - before
+    assert len([*state.glob("batch=*")]) >= 3
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     for f in (op1_fingerprint.fingerprint_documents, op2_substring.remove_repeats, op3_pack.pack_documents, op6_mix.mix, op8_forest.near_dedup, op9_exact.exact_dedup):
