@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .labelled import calibration, fold, sampled
 from .textops import NO_LETTER, buffers, chunks, word_hashes
 
-FOLDS, CUT, MOST, FAVOUR = 5, 0.5, 10_000, 3.0
+FOLDS, CUT, MOST, FAVOUR = 5, 0.5, 12_000, 3.0
 BUCKETS, WIDTH, FILTERS, WIDTHS, STEMS = 1 << 18, 8, 8, (1, 2, 3), (4, 5, 6, 7, 8)
 PAD = BUCKETS  # zeros: between texts, and for stems that a word does not have
 
@@ -94,7 +94,7 @@ class Network:
         self.fitted = True
         self.start(texts, y)
         r = np.random.default_rng(seed)
-        m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
+        m, v, t = {k: np.zeros(x.shape, np.float32) for k, x in self.p.items()}, {k: np.zeros(x.shape, np.float32) for k, x in self.p.items()}, 0
         weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
         for _ in range(max(epochs, min(30, 30_000 // len(y)))):
             order = r.permutation(len(texts))

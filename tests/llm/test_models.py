@@ -86,6 +86,18 @@ def test_network_gradient():
                 assert max(y, 0) == pytest.approx(h[d, n * op5_toxicity.FILTERS + f])
 
 
+def test_fitting_sample_size(spark, monkeypatch):
+    """12,000 labelled rows of the training folds are all fitted on or calibrated with."""
+    ids = [i for i in range(16_000) if remainder(i, 5)][:12_000]
+    docs = spark.createDataFrame([(i, f"word{i % 7} text", "en") for i in ids], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    used = []
+    monkeypatch.setattr(op5_toxicity.Network, "fit", lambda self, texts, y: used.append(len(texts)))
+    monkeypatch.setattr(op5_toxicity.Network, "calibrate", lambda self, texts, y: used.append(len(texts)))
+    op5_toxicity.fit(docs, labels)
+    assert sum(used) == 12_000
+
+
 def test_calibration():
     r = np.random.default_rng(4)
     z = r.normal(0, 3, 20_000)
