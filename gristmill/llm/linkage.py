@@ -1,10 +1,9 @@
-"""Exact links inside groups of candidates, on whole shingle sets.
+"""Exact links among candidates, on whole shingle sets.
 
-A group of candidates is compared completely: intersection sizes of all its
-sets come from one product of the incidence matrix with itself. Groups have a
-fixed size; a larger component of candidates is dealt into blocks. What the
-blocks leave apart is settled exactly as well: the largest part found so far is
-the main part, and every document outside it is compared with every block.
+A small group of candidates is compared completely: intersection sizes of all
+its sets come from one product of the incidence matrix with itself. A larger
+component of candidates is dealt into blocks of a fixed size, and candidate
+pairs that these leave apart are decided one by one on the two sets.
 """
 
 from __future__ import annotations
@@ -21,6 +20,8 @@ from .store import materialize
 from .textops import buffers, chunks, shingles, word_hashes
 
 BLOCK = 256
+#: Pairs of one document that a task decides; its set is sent again for as many more.
+PAIRS = 512
 
 
 def shingle_sets(col: pa.Array, k: int, fold: bool) -> list[np.ndarray]:
@@ -96,23 +97,79 @@ def settle_groups(sets: DataFrame, groups: DataFrame, num: int, den: int) -> Dat
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_linked(num, den), "grp long, id long, label long, degree long")
 
 
-def confirmed(own: DataFrame, candidates: DataFrame, num: int, den: int, k: int = 5, fold: bool = True) -> DataFrame:
-    """Links among candidates, confirmed on the full sets: edges (a, b) that connect what is linked.
+def _to_sets(k: int, fold: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                items = [x.tobytes() for x in shingle_sets(part["text"], k, fold)]
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(items, pa.binary())], names=["id", "items"])
 
-    ``own`` (id long, text); ``candidates`` (node, component), components of
-    candidate pairs. Every pair of one candidate component is decided exactly,
-    but for pairs that other links have already brought together.
-    """
+    return run
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            items = [x.tobytes() for x in shingle_sets(b["text"], k, fold)]
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(items, pa.binary())], names=["id", "items"])
 
+def sets_of(own: DataFrame, ids: DataFrame, k: int, fold: bool) -> DataFrame:
+    """(id, items): the shingle sets of the rows of ``own`` whose id is in ``ids``."""
+    sets = own.join(ids, "id").select("id", "text").mapInArrow(_to_sets(k, fold), "id long, items binary")
+    return materialize(sets.filter(F.length("items") > 0), "link-sets")
+
+
+def _decided(num: int, den: int):
+    """Rows (a, salt, b, items) sorted, the rows of a itself (b null) first -> the pairs (a, b) that are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lead = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for a, salt, b, raw in zip(batch["a"].to_pylist(), batch["salt"].to_pylist(), batch["b"].to_pylist(), batch["items"], strict=True):
+                if (a, salt) != at:
+                    at, lead = (a, salt), []
+                x = np.frombuffer(raw.as_buffer(), np.uint64)
+                if b is None:
+                    lead.append(x.copy())
+                    continue
+                for y in lead:  # rows that share an id are one document
+                    where = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    common = int((y[where] == x).sum())
+                    if den * common >= num * (len(x) + len(y) - common):
+                        found.append((a, b))
+                        break
+            made = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def verified(own: DataFrame, pairs: DataFrame, num: int, den: int, k: int = 5, fold: bool = True) -> DataFrame:
+    """Those of the ``pairs`` (a, b) that are linked, each decided on the two whole sets.
+
+    The end with more pairs leads: its set is sent once for PAIRS of its pairs.
+    """
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    ends = materialize(ends, "link-ends")
+    sets = sets_of(own, ends.select("id"), k, fold)
+    turned = pairs.join(ends.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    first = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    turned = turned.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), F.greatest("na", "nb").alias("n"))
+    turned = materialize(turned.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PAIRS)).alias("salt")), "link-turned")
+    lead = turned.select("a", "salt").distinct().join(sets, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "items")
+    rows = lead.unionByName(turned.join(sets, F.col("b") == F.col("id")).select("a", "salt", "b", "items"))
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return materialize(rows.mapInArrow(_decided(num, den), "a long, b long"), "link-verified")
+
+
+def confirmed(own: DataFrame, pairs: DataFrame, num: int, den: int, k: int = 5, fold: bool = True) -> DataFrame:
+    """Links among the candidate ``pairs`` (a, b), confirmed on the full sets: edges (a, b) that connect what is linked.
+
+    ``own``: (id long, text). Components of at most BLOCK candidates are
+    compared completely, each set sent once. Larger ones are dealt into blocks
+    of that size, and then those pairs are decided one by one that no link has
+    brought together, so the sets sent grow with the pairs.
+    """
+    candidates = components(pairs)
     size = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     member = materialize(candidates.join(size, "component").select(F.col("node").alias("id"), "component", "members"), "link-members")
-    sets = own.join(member.select("id"), "id").select("id", "text").mapInArrow(to_sets, "id long, items binary")
-    sets = materialize(sets.filter(F.length("items") > 0), "link-sets")
+    sets = sets_of(own, member.select("id"), k, fold)
 
     blocks = F.ceil(F.col("members") / BLOCK)
     block = F.pmod(F.xxhash64("id"), blocks)
@@ -131,18 +188,9 @@ def confirmed(own: DataFrame, candidates: DataFrame, num: int, den: int, k: int
     second = settle_groups(sets, hubs, num, den).filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
     edges = materialize(edges.unionByName(second), "link-edges")
 
-    # every document outside the main part of its candidate component, against every block of it
-    label = components(edges)
-    where = large.join(label.withColumnRenamed("node", "id").withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    where = materialize(where.select("id", "component", "members", "grp", "label"), "link-where")
-    main = where.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max(F.struct("n", "label")).alias("x")).select("component", F.col("x.label").alias("main"))
-    outside = where.join(main, "component").filter("label <> main")
-    left = outside.groupBy("component").agg(F.count(F.lit(1)).alias("left"))
-    outside = materialize(outside.join(left, "component").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("left") / BLOCK))).select("id", "component", "left", "chunk"), "link-outside")
-    if outside.isEmpty():
-        return edges
-    every = where.select("component", "grp").distinct()
-    asked = outside.join(every, "component").select("id", F.xxhash64("grp", "chunk").alias("grp"))
-    told = where.join(left, "component").select("id", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("left") / BLOCK).cast("long") - 1)).alias("chunk")).select("id", F.xxhash64("grp", "chunk").alias("grp"))
-    third = settle_groups(sets, asked.unionByName(told).distinct(), num, den).filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
-    return materialize(edges.unionByName(third), "link-edges")
+    label = components(edges).select("node", "component")
+    here = pairs.join(large.select(F.col("id").alias("a")), "a", "left_semi")
+    for end in ("a", "b"):
+        here = here.join(label.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    left = materialize(here.filter("of_a <> of_b").select("a", "b"), "link-left")
+    return edges if left.isEmpty() else edges.unionByName(verified(own, left, num, den, k, fold))

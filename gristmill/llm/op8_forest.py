@@ -3,15 +3,20 @@
 Each tree orders the documents by the same signature read from another place
 on. Documents that share a tree's first DEPTH values form a region. In a small
 region all pairs are candidates; a crowded one is read deeper, the more so the
-more documents it has, and then only neighbours in the sorted order, with the
-longest common prefixes, and the region's first document are at first. Pairs
-whose signatures are far from the threshold are not pursued. What this leaves
-apart in a crowded region is then compared completely: every member outside the
-region's main component with every member, on longer signatures. Components of
-candidates are then decided exactly on full shingle sets (see linkage).
+more documents it has, and only neighbours in the sorted order, with the longest
+common prefixes, are candidates there. Candidate pairs are decided exactly on
+full shingle sets (see linkage).
 
-Documents with equal sets, and then with equal signatures, enter the forest
-once, so groups of copies cost what one document costs.
+What that leaves apart among the members of crowded regions is found by their
+rare shingles, exactly: with all sets in one order, rarest shingles first, two
+linked sets share a shingle so early in both that what follows can still make
+up the overlap. Documents that merely share a template meet nowhere, as their
+own words come first. Such meetings between documents that are still in
+different components are compared by longer signatures, the likeliest first,
+and those that may be linked are decided on full sets again.
+
+Documents with equal sets enter the forest once, so groups of exact copies cost
+what one document costs.
 
 Defined results: null text is empty; a document without words has no shingles
 and is linked with nothing; repeated rows, and rows that share an id, are one
@@ -28,19 +33,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, roots
-from .linkage import confirmed, shingle_sets
+from .graph import components
+from .linkage import confirmed, shingle_sets, verified
 from .store import materialize
 from .textops import mix, permutations, signatures
 
 TREES, DEPTH, LANES, SEED = 16, 4, 64, 8
 #: Candidates' estimated likeness may be this much below the threshold: four and a half standard errors of 64 lanes at 0.85.
 MARGIN = 0.20
-SMALL, CROWDED, NEIGHBOURS = 32, 512, 4
-#: In crowded regions: further lanes, and the margin of all lanes together (at least 4.4 standard errors at 0.80).
+SMALL, CROWDED, NEIGHBOURS = 32, 512, 2
+#: The same for neighbours in crowded regions, where rare shingles find what this leaves.
+CLOSE = 0.06
+#: For meetings by rare shingles: further lanes, and the margin of all lanes together (at least 4.4 standard errors at 0.80).
 MORE, FINE = 192, 0.11
-#: Members that a task compares with as many others, and how many of them at a time.
-BLOCK, STRIPE = 8192, 128
+#: Cells of the table by which shingles are ordered. It has a fixed size; the order only decides how much is compared.
+CELL_BITS = 22
+#: Members that a task compares with as many others, how many of them at a time, and how many partners of each come first.
+BLOCK, STRIPE, FIRST = 8192, 128, 4
 
 
 def _scanned(k: int, fold: bool):
@@ -82,23 +91,19 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order.append(turned)
             deeper = min(LANES - DEPTH, int(np.ceil(4.6 * np.log2(members / CROWDED)))) if members > CROWDED else 0
             sub.append(turned[:deeper])
-        yield pa.RecordBatch.from_arrays([b["key"], b["id"], b["members"], b["low"], b["hub"], b["hub_low"], pa.array(order, pa.binary()), pa.array(sub, pa.binary())], names=["key", "id", "members", "low", "hub", "hub_low", "order", "sub"])
+        yield pa.RecordBatch.from_arrays([b["key"], b["id"], b["members"], b["low"], pa.array(order, pa.binary()), pa.array(sub, pa.binary())], names=["key", "id", "members", "low", "order", "sub"])
 
 
-def _neighbours(least: float):
+def _neighbours(least: float, close: float):
     """Rows sorted by key, part and order -> candidate pairs (a, b) whose signatures agree often enough."""
 
     def settle(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids = np.array([r[0] for r in rows])
         low = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), LANES)
-        reach = len(rows) - 1 if rows[0][2] <= SMALL else min(NEIGHBOURS, len(rows) - 1)
-        for step in range(1, reach + 1):
-            good = (low[:-step] == low[step:]).mean(axis=1) >= least
+        small = rows[0][2] <= SMALL
+        for step in range(1, min(SMALL if small else NEIGHBOURS, len(rows) - 1) + 1):
+            good = (low[:-step] == low[step:]).mean(axis=1) >= (least if small else close)
             yield ids[:-step][good], ids[step:][good]
-        if rows[0][2] > SMALL:
-            hub = np.frombuffer(rows[0][4], np.uint8)
-            good = ((low == hub).mean(axis=1) >= least) & (ids != rows[0][3])
-            yield ids[good], np.full(good.sum(), rows[0][3])
 
     def out(pairs: list) -> pa.RecordBatch:
         a = np.concatenate([x for x, _ in pairs] or [np.zeros(0, np.int64)])
@@ -109,7 +114,7 @@ def _neighbours(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, pairs = None, [], []
         for b in batches:
-            cols = [b[c].to_pylist() for c in ("key", "sub", "id", "low", "members", "hub", "hub_low")]
+            cols = [b[c].to_pylist() for c in ("key", "sub", "id", "low", "members")]
             for key, sub, *row in zip(*cols, strict=True):
                 if (key, sub) != at or len(rows) >= 4096:
                     if rows:
@@ -129,19 +134,78 @@ def _neighbours(least: float):
 
 
 def region_members(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (id, sig) with distinct signatures -> (key, id, tree, members, hub), one row per node and region of at least two."""
+    """``nodes`` (id, sig) -> (key, id, tree, members), one row per node and region of at least two."""
     keys = nodes.select("id", "sig").mapInArrow(_keys, "id long, tree int, key long")
-    regions = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("hub")).filter("members > 1")
+    regions = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     return materialize(keys.join(regions, "key"), "forest-members")
 
 
-def candidate_pairs(nodes: DataFrame, member: DataFrame, least: float) -> DataFrame:
+def candidate_pairs(nodes: DataFrame, member: DataFrame, least: float, close: float) -> DataFrame:
     """Candidate pairs (a, b): all of small regions, neighbours of crowded ones."""
-    low = nodes.select("id", "low")
-    member = member.join(low, "id").join(low.select(F.col("id").alias("hub"), F.col("low").alias("hub_low")), "hub")
-    placed = member.select("key", "tree", "id", "members", "low", "hub", "hub_low").mapInArrow(_placed, "key long, id long, members long, low binary, hub long, hub_low binary, order binary, sub binary")
+    placed = member.join(nodes.select("id", "low"), "id").select("key", "tree", "id", "members", "low").mapInArrow(_placed, "key long, id long, members long, low binary, order binary, sub binary")
     rows = placed.repartition("key", "sub").sortWithinPartitions("key", "sub", "order", "id")
-    return rows.mapInArrow(_neighbours(least), "a long, b long").distinct()
+    return rows.mapInArrow(_neighbours(least, close), "a long, b long").filter("a <> b").distinct()
+
+
+def _cells(k: int, fold: bool):
+    """How many sets of a partition have a shingle in each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                sets = shingle_sets(b.slice(at, 512)["text"], k, fold)
+                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+        used = np.flatnonzero(total)
+        for at in range(0, len(used), 1 << 16):
+            part = used[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["cell", "n"])
+
+    return run
+
+
+def _rare(held, num: int, den: int, k: int, fold: bool):
+    """Each set's first shingles, rarest first, as far as a linked set must share one of them; those met once are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = held.value
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                keys, rows, size, places = [], [], [], []
+                for row, x in enumerate(shingle_sets(part["text"], k, fold)):
+                    n = len(x)
+                    own = level[(x >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                    once = int((own == 0).sum())
+                    # a set at least as large needs num / den of it, one of any size at least as much as a smaller one
+                    most = n + (-num * n) // den + 1
+                    if once >= most:
+                        continue
+                    some = np.flatnonzero(own)
+                    some = some[np.lexsort((x[some], own[some]))][: most - once]
+                    keys.append(x[some])
+                    rows.append(np.full(len(some), row))
+                    size.append(np.full(len(some), n))
+                    places.append(np.arange(once, once + len(some)))
+                if not keys:
+                    continue
+                rows, size, places = np.concatenate(rows), np.concatenate(size), np.concatenate(places)
+                short = places < size + (-2 * num * size) // (num + den) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), part["id"].take(pa.array(rows)), pa.array(size.astype(np.int32)), pa.array(places.astype(np.int32)), pa.array(short.astype(np.int32))], names=["key", "id", "n", "place", "short"])
+
+    return run
+
+
+def meetings(own: DataFrame, crowded: DataFrame, num: int, den: int, k: int, fold: bool) -> DataFrame:
+    """(key, id, n, place, short): where sets of ``crowded`` (id) may meet. Of two linked sets one is there with ``short``."""
+    sc = own.sparkSession.sparkContext
+    texts = own.join(crowded, "id").select("id", "text")
+    cells = texts.select("text").mapInArrow(_cells(k, fold), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
+    found = cells.select("cell", F.least(F.lit(127), F.floor(F.log2("n") * 4)).cast("tinyint").alias("level")).toPandas()  # at most 2 ** CELL_BITS small rows
+    level = np.zeros(1 << CELL_BITS, np.uint8)
+    level[found["cell"].to_numpy()] = found["level"].to_numpy()
+    met = texts.mapInArrow(_rare(sc.broadcast(level), num, den, k, fold), "key long, id long, n int, place int, short int")
+    return materialize(met, "forest-met")
 
 
 def _more(k: int, fold: bool):
@@ -164,68 +228,99 @@ def _planes(low: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=2).view(np.uint64)[..., 0]
 
 
-def _between(least: float, fine: float):
-    """Rows sorted by key, i and j -> edges (a, b) between the labels of members that are alike; chunk i of the region is compared with chunk j."""
+def _best(one: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+    """Whether a pair is among the ``most`` with the highest scores of those with the same ``one``."""
+    order = np.lexsort((-score, one))
+    new = np.r_[True, one[order][1:] != one[order][:-1]]
+    rank = np.arange(len(one)) - np.maximum.accumulate(np.where(new, np.arange(len(one)), 0))
+    out = np.zeros(len(one), bool)
+    out[order] = rank < most
+    return out
+
+
+def _between(least: float, fine: float, num: int, den: int, first: int | None):
+    """Rows sorted by key, i and j -> pairs (a, b) with different labels that may be linked; chunk i of the key is compared with chunk j.
 
-    def settle(i: int, j: int, chunk: np.ndarray, label: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        names, at = np.unique(label, return_inverse=True)
+    ``first``: only the likeliest partners of each.
+    """
+
+    def settle(i: int, j: int, ids: np.ndarray, chunk: np.ndarray, label: np.ndarray, n: np.ndarray, place: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        planes, low = _planes(np.ascontiguousarray(sig[:, :LANES])), sig[:, :LANES]
+        planes = _planes(np.ascontiguousarray(sig[:, :LANES]))
+        rest = n - place
         for s in range(0, len(left), STRIPE):
             rows = left[s : s + STRIPE]
             # lanes whose low bits differ: never more than lanes that differ
             differ = planes[0][rows][:, None] ^ planes[0][right][None]
             for p in planes[1:]:
                 differ |= p[rows][:, None] ^ p[right][None]
-            a, b = np.nonzero((LANES - np.bitwise_count(differ).astype(np.int16) >= least * LANES) & (at[rows][:, None] != at[right][None]))
+            may = (LANES - np.bitwise_count(differ).astype(np.int16) >= least * LANES) & (label[rows][:, None] != label[right][None])
+            # what follows the place of meeting can still make up the overlap
+            may &= np.minimum(rest[rows][:, None], rest[right][None]) * (num + den) >= num * (n[rows][:, None] + n[right][None])
+            a, b = np.nonzero(may)
             a, b = rows[a], right[b]
             for t in range(0, len(a), 1 << 16):
                 u, v = a[t : t + (1 << 16)], b[t : t + (1 << 16)]
-                apart = at[u] != at[v]
-                u, v = u[apart], v[apart]
-                good = (low[u] == low[v]).mean(axis=1) >= least
-                u, v = u[good], v[good]
-                good = (sig[u] == sig[v]).mean(axis=1) >= fine
-                if not good.any():
-                    continue
-                nodes, root = roots(at[u[good]], at[v[good]])
-                yield names[nodes[nodes != root]], names[root[nodes != root]]
-                to = np.arange(len(names))
-                to[nodes] = root
-                at = to[at]
+                score = (sig[u] == sig[v]).mean(axis=1)
+                good = score >= fine
+                u, v, score = u[good], v[good], score[good]
+                if first is not None:
+                    good = _best(u, score, first) | _best(v, score, first)
+                    u, v = u[good], v[good]
+                if len(u):
+                    yield ids[u], ids[v]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
+        at, rows, made = None, [], []
 
         def out() -> Iterator[pa.RecordBatch]:
-            chunk, label, low, more = zip(*rows, strict=True)
+            ids, chunk, label, n, place, low, more = zip(*rows, strict=True)
             sig = np.concatenate([np.frombuffer(b"".join(low), np.uint8).reshape(-1, LANES), np.frombuffer(b"".join(more), np.uint8).reshape(-1, MORE)], axis=1)
-            for a, b in settle(*at[1:], np.array(chunk), np.array(label), sig):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield from settle(*at[1:], *(np.array(x, np.int64) for x in (ids, chunk, label, n, place)), sig)
+
+        def batch() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*made, strict=True))
+            made.clear()
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            held = 0
+            for x in out():
+                made.append(x)
+                held += len(x[0])
+                if held > 1 << 18:
+                    yield batch()
+                    held = 0
+            if len(made) > 4096:
+                yield batch()
 
         for b in batches:
-            for key, i, j, *row in zip(*(b[c].to_pylist() for c in ("key", "i", "j", "chunk", "label", "low", "more")), strict=True):
+            for key, i, j, *row in zip(*(b[c].to_pylist() for c in ("key", "i", "j", "id", "chunk", "label", "n", "place", "low", "more")), strict=True):
                 if (key, i, j) != at and rows:
-                    yield from out()
+                    yield from closed()
                     rows = []
                 at = (key, i, j)
                 rows.append(row)
         if rows:
-            yield from out()
+            yield from closed()
+        if made:
+            yield batch()
 
     return run
 
 
-def crowded_pairs(own: DataFrame, nodes: DataFrame, member: DataFrame, label: DataFrame, least: float, fine: float, k: int, fold: bool) -> DataFrame | None:
-    """Edges (a, b) between the components ``label`` (node, component) that a crowded region's members link; None if there is nothing to compare.
+def met_pairs(own: DataFrame, nodes: DataFrame, met: DataFrame, label: DataFrame, num: int, den: int, k: int, fold: bool, first: int | None) -> DataFrame | None:
+    """Pairs (a, b) of different components ``label`` (node, component) that meet and may be linked; None if there are none.
 
-    Of each crowded region every member outside its largest component is
-    compared with every member, in chunks of about BLOCK rows.
+    Of each key's members every one outside its largest component is compared
+    with every member, in chunks of about BLOCK rows.
     """
-    where = member.filter(F.col("members") > SMALL).select("key", "id").join(label.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left")
-    where = materialize(where.withColumn("label", F.coalesce("label", "id")), "forest-where")
-    part = where.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("x"))
-    part = part.select("key", F.col("x.label").alias("main"), F.ceil((F.col("members") - F.col("x.n")) / BLOCK).alias("outer"), F.ceil(F.col("x.n") / BLOCK).alias("inner")).filter("outer > 0")
+    where = met.join(label.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    where = materialize(where, "forest-where")
+    part = where.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("short")).groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("x"), F.max("short").alias("any"))
+    outer, inner = F.ceil((F.col("members") - F.col("x.n")) / BLOCK), F.ceil(F.col("x.n") / BLOCK)
+    part = part.filter("any = 1 and members > x.n").select("key", F.col("x.label").alias("main"), outer.alias("outer"), inner.alias("inner"))
     dealt = materialize(where.join(part, "key"), "forest-dealt")
     if dealt.isEmpty():
         return None
@@ -233,10 +328,13 @@ def crowded_pairs(own: DataFrame, nodes: DataFrame, member: DataFrame, label: Da
 
     outside, hash_ = F.col("label") != F.col("main"), F.xxhash64("id")
     dealt = dealt.withColumn("chunk", F.when(outside, F.pmod(hash_, F.col("outer"))).otherwise(F.col("outer") + F.pmod(hash_, F.col("inner"))))
-    met = F.explode(F.sequence(F.lit(0).cast("long"), F.when(outside, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1))
-    rows = dealt.select("key", "id", "label", "chunk", met.alias("o")).select("key", "id", "label", "chunk", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.when(outside, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1))
+    cols = ("key", "id", "label", "n", "place", "chunk")
+    rows = dealt.select(*cols, others.alias("o")).select(*cols, F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"))
     rows = rows.join(nodes.select("id", "low"), "id").join(more, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.select("key", "i", "j", "chunk", "label", "low", "more").mapInArrow(_between(least, fine), "a long, b long").distinct()
+    least, fine = num / den - MARGIN, num / den - FINE
+    pairs = rows.select("key", "i", "j", "id", "chunk", "label", "n", "place", "low", "more").mapInArrow(_between(least, fine, num, den, first), "a long, b long")
+    return materialize(pairs.filter("a <> b").distinct(), "forest-met-pairs")
 
 
 def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,19 +350,26 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scanned = materialize(own.mapInArrow(_scanned(k, fold), "id long, n long, one long, two long, sig binary"), "forest-scan")
     sets = scanned.filter("n > 0 and id is not null").groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     sets = materialize(sets, "forest-sets")
-    twins = sets.groupBy("sig").agg(F.min("rep").alias("id"))
-    nodes = materialize(twins.select("id", "sig").mapInArrow(_low, "id long, sig binary, low binary"), "forest-nodes")
-    same = sets.join(twins, "sig").filter("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    nodes = materialize(sets.select(F.col("rep").alias("id"), "sig").mapInArrow(_low, "id long, sig binary, low binary"), "forest-nodes")
     # rows that share an id but not a set
     shared = scanned.filter("n > 0 and id is not null").select("id", "n", "one", "two").distinct().join(sets.select("n", "one", "two", "rep"), ["n", "one", "two"]).filter("id <> rep").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     member = region_members(nodes)
-    pairs = materialize(candidate_pairs(nodes, member, num / den - MARGIN).unionByName(same), "forest-pairs")
-    found = components(pairs)
-    further = crowded_pairs(own, nodes, member, found, num / den - MARGIN, num / den - FINE, k, fold)
-    if further is not None:
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further))
-    links = confirmed(own, found, num, den, k, fold)
+    pairs = materialize(candidate_pairs(nodes, member, num / den - MARGIN, num / den - CLOSE), "forest-pairs")
+    links = confirmed(own, pairs, num, den, k, fold)
     label = components(links.unionByName(shared))
+    crowded = materialize(member.filter(F.col("members") > SMALL).select("id").distinct(), "forest-crowded")
+    if not crowded.isEmpty():
+        met = meetings(own, crowded, num, den, k, fold)
+        decided = None
+        for first in (FIRST, None):  # the likeliest partners first: then hardly any pairs are left
+            further = met_pairs(own, nodes, met, label, num, den, k, fold, first)
+            if further is not None and decided is not None:
+                further = materialize(further.join(decided, ["a", "b"], "left_anti"), "forest-further")
+            if further is None or further.isEmpty():
+                break
+            decided = further
+            found = verified(own, further, num, den, k, fold)
+            label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
     of_set = sets.join(label, F.col("rep") == F.col("node"), "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component_id"))
     empty = scanned.filter("n = 0 or id is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     rest = scanned.filter("n > 0 and id is not null").join(of_set, ["n", "one", "two"]).select("id", F.col("n").alias("n_shingles"), "component_id")

@@ -102,6 +102,58 @@ def test_near_dedup_of_a_shared_template(spark):
     assert {x.doc_id: x.component_id for x in op8_forest.near_dedup(df).collect()} == want
 
 
+def template_pairs(n, own, seed):
+    """n texts with one template; each has one partner with a likeness between 0.85 and 0.95, and all others are below 0.8."""
+    r = random.Random(seed)
+    template = [f"t{r.randrange(10**6)}" for _ in range(320)]
+    rows = []
+    for i in range(n // 2):
+        w = [f"w{r.randrange(10**7)}" for _ in range(own)]
+        rows.append((2 * i, " ".join(template + w)))
+        for at in r.sample(range(4, own, 6), 4):
+            w[at] = f"x{r.random()}"
+        rows.append((2 * i + 1, " ".join(template + w)))
+    return rows
+
+
+@pytest.mark.parametrize("own", [40, 60])
+def test_template_work_grows_with_documents(spark, monkeypatch, own):
+    """No link is lost where all documents share a template, and the sets that are sent grow as the documents do."""
+    from gristmill.llm import graph, linkage, store
+
+    sent = {}
+
+    def counted(df, name):
+        out = store.materialize(df, name)
+        if name in ("link-sets", "link-turned"):
+            sent[name] = sent.get(name, 0) + out.count()
+        return out
+
+    for module in (op8_forest, linkage, graph):
+        monkeypatch.setattr(module, "materialize", counted)
+    rows = {}
+    for n in (600, 2400):
+        sent.clear()
+        df = spark.createDataFrame(template_pairs(n, own, 5), "doc_id long, text string").repartition(4)
+        assert all(r.component_id == r.doc_id // 2 * 2 for r in op8_forest.near_dedup(df).collect())
+        rows[n] = sent["link-sets"] + 2 * sent["link-turned"]
+    assert rows[2400] < 1.3 * 4 * rows[600]
+
+
+def test_links_through_one_base(spark):
+    """Every copy is linked with the base alone: copies differ in other places, so that they are below the threshold among themselves."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 900):
+        w = base[:]
+        for at in r.sample(range(0, 390, 10), 5):
+            w[at] = f"x{r.random()}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in op8_forest.near_dedup(df).collect()} == components(rows, 85, 100)
+
+
 def test_bands_and_jaccard(documents):
     got = {r.doc_id: r.component for r in op1_fingerprint.near_duplicates(documents).collect()}
     assert got == {i: c for i, (_, c) in components(pairs(documents), 80, 100).items()}
