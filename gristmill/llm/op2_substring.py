@@ -1,17 +1,27 @@
 """Removal of repeated word sequences, by level-wise doubling of windows.
 
-Level 1 looks at windows of half the final length, level 2 at those twice as
-long. Of the half windows inside each full window the one with the smallest
-hash stands for it; such anchors are chosen by content, so two equal full
-windows have equal anchors, and only about one word in six is an anchor. Each
-anchor is sent to the task of its hash with hashes of the full windows that it
-stands for. There anchors met once are dropped (no window around them can
-repeat) and the windows of the others are extended to full length: of the equal
-ones the first by (document, start) stays and the rest are flagged. No
-candidate is left at the final length, which ends the doubling.
-
-Equal windows of one block of rows are settled in the block; it sends the first
-of them, so a passage that fills the corpus costs each block one entry.
+The first level looks at windows of half the final length (or a quarter, an
+eighth: ``base``), each further one at windows twice as long, and only at those
+places whose window was repeated at the level before. The doubling ends when no
+candidates survive or the final length is reached.
+
+Not every place is looked at. Each full window is represented at the first level
+by the one of its ``base``-word windows that has the smallest hash, and then by
+the window of twice the length around it. Representatives are chosen by content,
+so equal full windows have equal ones, and about one place in six is sent.
+
+A level has two steps. Blocks of rows send each distinct hash once, to the
+bucket that owns it; buckets answer with the places whose window also occurs
+elsewhere. At the last level the representative is the full window itself: of
+equal ones the first by (document, start) stays and the others are answered.
+Lower levels send 48 bits of a hash, since a false match there only costs work.
+The last one identifies a window by 96 bits: 64 that are built from one hash of
+each word and 32 from another, independent one.
+
+Equal windows of one block are settled in the block, which sends the first of
+them, so a passage that fills the corpus costs each block one entry. Buckets are
+as many as the text asks for, and are settled one at a time. Texts travel
+compressed.
 
 Defined results: null text has no words; repeated rows (same id, same text) are
 one document and have the same result; rows that share an id but not the text
@@ -27,18 +37,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import chunks, buffers, doubled, mix, windows, word_hashes
+from .store import materialize
+from .textops import buffers, chunks, doubled, mix, windows, word_hashes
 
 BLOCK_BYTES = 4 << 20
-EXTRA = 6  # bytes kept of a full window's hash, beside the 8 of its anchor's
-ENTRY = np.dtype([("anchor", "<u8"), ("extra", "<u8"), ("row", "<u4"), ("start", "<u4")])
+#: Characters of text for each bucket of hashes, and the most buckets.
+BUCKET_CHARS, MOST_BUCKETS = 32 << 20, 1 << 14
+#: Bytes of a hash that are sent at the lower levels and at the last one.
+SHORT, LONG = 6, 12
+ENTRY = np.dtype([("hash", "<u8"), ("extra", "<u8"), ("row", "<u4"), ("start", "<u4")])
 
 
 def anchors(half: np.ndarray, reach: int) -> np.ndarray:
-    """For each full window the place of its smallest half window (the first of equal ones); ``reach`` half windows lie in a full one."""
+    """For each full window the place of its smallest shorter window (the first of equal ones); ``reach`` of these lie in a full one."""
     n = len(half) - reach + 1
     low, at = half[:n].copy(), np.zeros(n, np.int64)
     for j in range(1, reach):
@@ -48,224 +63,315 @@ def anchors(half: np.ndarray, reach: int) -> np.ndarray:
     return at + np.arange(n)
 
 
-def _entries(data: np.ndarray, off: np.ndarray, size: int) -> np.ndarray:
-    """Every full window of the rows: its anchor's hash, its own, its row and its start."""
+def lengths(size: int, base: int) -> list[int]:
+    """The levels' window lengths."""
+    out = [base]
+    while out[-1] < size:
+        out.append(2 * out[-1])
+    if base < 1 or out[-1] != size:
+        raise ValueError("the window must be the first level's length, doubled some times")
+    return out
+
+
+def representatives(first: np.ndarray, size: int, base: int, length: int) -> np.ndarray:
+    """Where each full window's representative of ``length`` words begins; ``first``: hashes of a text's ``base``-word windows."""
+    at = anchors(first, size - base + 1)
+    start = np.arange(len(at))
+    for long in lengths(length, base)[1:]:
+        at = np.clip(at - long // 4, start, start + size - long)
+    return at
+
+
+def _hashed(data: np.ndarray, off: np.ndarray, upto: int, base: int, word_bits: int, other: bool) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Each row's first word, and hashes of its windows of each length up to ``upto``; with ``other``, of the last by the words' other hash."""
+    h, first = word_hashes(data, off)
+    h = h & np.uint64((1 << word_bits) - 1)
+    levels = [windows(h, base)]
+    for k in lengths(upto, base)[:-1]:
+        levels.append(doubled(levels[-1], k))
+    extra = windows(word_hashes(data, off, other=True)[0], upto) if other else np.zeros(0, np.uint64)
+    return first, levels, extra
+
+
+def _entries(data: np.ndarray, off: np.ndarray, size: int, base: int, length: int, known: list[np.ndarray] | None, word_bits: int) -> np.ndarray:
+    """The rows' distinct representatives of ``length`` words, where those half as long are at places ``known`` to be repeated."""
     out = []
     for i, j in chunks(off):
-        h, first = word_hashes(data, off[i : j + 1])
-        half_size = size // 2
-        half = windows(h, half_size)
-        full = doubled(half, half_size)
+        first, levels, other = _hashed(data, off[i : j + 1], length, base, word_bits, length == size)
         for r in range(i, j):
             a, b = int(first[r - i]), int(first[r - i + 1])
             if b - a < size:
                 continue
-            e = np.empty(b - a - size + 1, ENTRY)
-            e["anchor"] = half[a + anchors(half[a : b - half_size + 1], size - half_size + 1)]
-            e["extra"] = full[a : a + len(e)]
-            e["row"], e["start"] = r, np.arange(len(e))
+            least = levels[0][a : b - base + 1]
+            at = representatives(least, size, base, length)
+            if known is not None:
+                before = representatives(least, size, base, length // 2)
+                again = np.zeros(b - a, bool)
+                again[known[r]] = True
+                at = at[again[before]]
+            at = np.unique(at)
+            e = np.zeros(len(at), ENTRY)
+            e["hash"], e["row"], e["start"] = levels[-1][a + at], r, at
+            if length == size:
+                e["extra"] = other[a + at] & np.uint64(0xFFFFFFFF)
             out.append(e)
     return np.concatenate(out) if out else np.zeros(0, ENTRY)
 
 
 def _runs(e: np.ndarray) -> np.ndarray:
-    """Whether each entry begins a run of equal windows (sorted by anchor and hash)."""
+    """Whether each entry begins a run of equal windows (sorted by hash)."""
     new = np.ones(len(e), bool)
-    new[1:] = (e["anchor"][1:] != e["anchor"][:-1]) | (e["extra"][1:] != e["extra"][:-1])
+    new[1:] = (e["hash"][1:] != e["hash"][:-1]) | (e["extra"][1:] != e["extra"][:-1])
     return new
 
 
 def _flags(ids: np.ndarray, text: np.ndarray, row: np.ndarray, start: np.ndarray) -> dict:
-    """Flagged starts by row, packed."""
+    """Places by row, packed."""
     order = np.lexsort((start, row))
     row, start = row[order], start[order]
     cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
     return {"id": ids[row[cut]], "text_hash": text[row[cut]], "starts": [x.astype("<u4").tobytes() for x in np.split(start, cut[1:])] if len(row) else []}
 
 
-MESSAGE = "bucket long, kind int, id long, text_hash long, starts binary, ids binary, entries binary, windows binary"
+MESSAGE = "bucket long, kind int, id long, text_hash long, starts binary, ids binary, body binary"
 
 
 def _message(n: int, **cols) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int64(), "kind": pa.int32(), "id": pa.int64(), "text_hash": pa.int64(), "starts": pa.binary(), "ids": pa.binary(), "entries": pa.binary(), "windows": pa.binary()}
+    kinds = {"bucket": pa.int64(), "kind": pa.int32(), "id": pa.int64(), "text_hash": pa.int64(), "starts": pa.binary(), "ids": pa.binary(), "body": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
 
 def _steps(x: np.ndarray) -> bytes:
-    """Differences, wrapping round."""
+    """Differences, wrapping round, byte by byte: most upper bytes are zeros."""
     out = x.copy()
     out[1:] -= x[:-1]
-    return out.tobytes()
+    return np.ascontiguousarray(out.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
 def _unstepped(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, kind, n, at), dtype=kind)
+    wide = np.dtype(kind).itemsize
+    parts = np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n)
+    return np.cumsum(np.ascontiguousarray(parts.T).view(kind).reshape(-1), dtype=kind)
+
 
+def _short(e: np.ndarray, last: bool) -> np.ndarray:
+    """(entries, bytes) of a hash that are sent."""
+    both = np.stack([e["hash"], e["extra"]], axis=1) if last else e["hash"][:, None]
+    return np.ascontiguousarray(np.ascontiguousarray(both.astype("<u8")).view(np.uint8).reshape(len(e), -1)[:, : LONG if last else SHORT])
 
-def _sent(size: int, buckets: int):
-    """Blocks of rows -> entries packed for each bucket of anchors, and what is flagged inside the block."""
 
-    def block(ids: np.ndarray, text: np.ndarray, data: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sent(size: int, base: int, length: int, buckets: int, word_bits: int):
+    """Blocks of rows -> hashes packed for each bucket, and what is repeated inside the block."""
+    last = length == size
+
+    def block(ids: np.ndarray, text: np.ndarray, data: np.ndarray, off: np.ndarray, known: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
         rank = np.lexsort((text, ids))
         place = np.empty(len(rank), np.int64)
         place[rank] = np.arange(len(rank))
         same = np.r_[False, (ids[rank][1:] == ids[rank][:-1]) & (text[rank][1:] == text[rank][:-1])]
-        group = rank[np.maximum.accumulate(np.where(same, 0, np.arange(len(rank))))]  # repeated rows: the first one's place
-        e = _entries(data, off, size)
-        if not len(e):
-            return
-        only = np.zeros(len(ids), bool)
+        e = _entries(data, off, size, base, length, known, word_bits)
+        only = np.zeros(len(ids), bool)  # repeated rows: the first one's place
         only[rank[~same]] = True
         e = e[only[e["row"]]]
-        e = e[np.lexsort((e["start"], place[e["row"]], e["extra"], e["anchor"]))]
+        if not len(e):
+            return
+        e = e[np.lexsort((e["start"], place[e["row"]], e["extra"], e["hash"]))]
         new = _runs(e)
-        again = e[~new]
+        several = np.diff(np.r_[np.flatnonzero(new), len(e)]) > 1
+        again = e[~new] if last else e[several[np.cumsum(new) - 1]]
         if len(again):
             f = _flags(ids, text, again["row"], again["start"])
             n = len(f["id"])
             yield _message(n, kind=[1] * n, bucket=np.arange(n) % buckets, **f)
         e = e[new]
-        bucket = (mix(e["anchor"]) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((e["start"], e["row"], e["anchor"], bucket))
-        e = e[order]
+        bucket = (mix(e["hash"]) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((e["start"], e["row"], bucket))
+        e, several = e[order], several[order]
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
+        for b in np.flatnonzero(np.diff(cut)).tolist():
             part = e[cut[b] : cut[b + 1]]
-            if not len(part):
-                continue
-            head = np.flatnonzero(np.r_[True, (part["anchor"][1:] != part["anchor"][:-1])])
-            anchor = np.empty(len(head), np.dtype([("anchor", "<u8"), ("n", "<u4")]))
-            anchor["anchor"], anchor["n"] = part["anchor"][head], np.diff(np.r_[head, len(part)])
             used, row = np.unique(part["row"], return_inverse=True)
-            # column by column, places as steps from the one before: most are 0 and 1, and compress
-            extra = np.ascontiguousarray(part["extra"].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :EXTRA])
-            body = extra.tobytes() + _steps(row.astype("<u4")) + _steps(part["start"])
-            yield _message(1, kind=[0], bucket=[b], ids=[_steps(ids[used].astype("<u8")) + text[used].astype("<u4").tobytes()], entries=[anchor["anchor"].tobytes() + anchor["n"].tobytes()], windows=[body])
+            body = _short(part, last).tobytes() + several[cut[b] : cut[b + 1]].tobytes() + _steps(row.astype("<u4")) + _steps(np.ascontiguousarray(part["start"]))
+            yield _message(1, kind=[0], bucket=[b], ids=[_steps(ids[used].astype("<u8")) + text[used].astype("<u4").tobytes()], body=[body])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        """``rows``: id, hash of the text, text, places known."""
         held, size_held = [], 0
 
         def settle() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            data, off = buffers(t["text"])
-            yield from block(t["id"].to_numpy().astype(np.int64), t["text_hash"].to_numpy().astype(np.int64), data, off)
-
-        for b in batches:
-            off = buffers(b["text"])[1]
-            for i, j in chunks(off, BLOCK_BYTES // 4):
-                held.append(b.slice(i, j - i))
-                size_held += int(off[j] - off[i])
-                if size_held >= BLOCK_BYTES:
-                    yield from settle()
-                    held, size_held = [], 0
+            ids, text, body, known = zip(*held, strict=True)
+            off = np.cumsum([0, *map(len, body)])
+            yield from block(np.array(ids, np.int64), np.array(text, np.int64), np.frombuffer(b"".join(body), np.uint8), off, None if length == base else list(known))
+
+        for row in rows:
+            held.append(row)
+            size_held += len(row[2])
+            if size_held >= BLOCK_BYTES:
+                yield from settle()
+                held, size_held = [], 0
         if held:
             yield from settle()
 
-    return run
+    def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for i, h, t in zip(b["id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].cast(pa.large_binary()), strict=True):
+                    yield i, h, t.as_py() or b"", None
+
+        yield from blocks(rows())
 
+    def next_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from blocks((i, h, text, known) for i, h, text, known in _with_places(batches) if known is not None)
 
-def _received(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All entries of some buckets, bucket by bucket -> (id, text_hash, starts) of windows that also begin earlier."""
+    return first_level if length == base else next_level
+
+
+def _with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows by (id, text_hash), places before texts -> id, hash of the text, text, the places or None."""
+    at, starts, unpack = None, [], zstandard.ZstdDecompressor()
+    for b in batches:
+        for i, h, raw, z in zip(b["id"].to_pylist(), b["text_hash"].to_pylist(), b["starts"].to_pylist(), b["z"].to_pylist(), strict=True):
+            if (i, h) != at:
+                at, starts = (i, h), []
+            if raw is not None:
+                starts.append(np.frombuffer(raw, "<u4"))
+                continue
+            yield i, h, unpack.decompress(z), np.concatenate(starts).astype(np.int64) if starts else None
+
+
+def _received(last: bool):
+    """All entries of some buckets, bucket by bucket -> (id, text_hash, starts) of windows that occur elsewhere (at the last level: earlier)."""
+    wide = LONG if last else SHORT
 
     def out(f: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(f["id"], pa.int64()), pa.array(f["text_hash"], pa.int64()), pa.array(f["starts"], pa.binary())], names=["id", "text_hash", "starts"])
 
-    def settle(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        head = [{"anchor": np.frombuffer(x, "<u8", len(x) // 12), "n": np.frombuffer(x, "<u4", len(x) // 12, len(x) // 12 * 8)} for _, x, _ in parts]
-        every, times = np.unique(np.concatenate([h["anchor"] for h in head]), return_counts=True)
-        several = every[times > 1]  # level 1: a half window met in one block alone cannot be part of a repeat
-        if not len(several):
-            return
-        anchor, extra, doc, start, base = [], [], [], [], 0
-        docs = []
-        for (ids, _, body), h in zip(parts, head, strict=True):
-            n = int(h["n"].sum())
-            full = np.zeros((n, 8), np.uint8)
-            full[:, :EXTRA] = np.frombuffer(body, np.uint8, n * EXTRA).reshape(n, EXTRA)
-            row = _unstepped(body, "<u4", n, n * EXTRA).astype(np.int64)
+    def settle(parts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        hashes, several, doc, start, docs, base = [], [], [], [], [], 0
+        for ids, body in parts:
+            n = len(body) // (wide + 9)
+            hashes.append(np.frombuffer(body, np.uint8, n * wide).reshape(n, wide))
+            several.append(np.frombuffer(body, bool, n, n * wide))
+            doc.append(_unstepped(body, "<u4", n, n * (wide + 1)).astype(np.int64) + base)
+            start.append(_unstepped(body, "<u4", n, n * (wide + 5)))
             m = len(ids) // 12
-            own = np.stack([_unstepped(ids, "<u8", m, 0).astype(np.int64), np.frombuffer(ids, "<u4", m, m * 8).astype(np.int64)], axis=1)
-            at = np.minimum(np.searchsorted(several, h["anchor"]), len(several) - 1)
-            keep = np.repeat(several[at] == h["anchor"], h["n"])
-            anchor.append(np.repeat(at, h["n"])[keep])
-            extra.append(full.view("<u8").reshape(-1)[keep])
-            doc.append(row[keep] + base)
-            start.append(_unstepped(body, "<u4", n, n * (EXTRA + 4))[keep])
-            docs.append(own)
-            base += len(own)
+            docs.append(np.stack([_unstepped(ids, "<u8", m, 0).astype(np.int64), np.frombuffer(ids, "<u4", m, m * 8).astype(np.int64)], axis=1))
+            base += m
+        full = np.zeros((sum(map(len, hashes)), 16), np.uint8)
+        full[:, :wide] = np.concatenate(hashes)
+        e = np.zeros(len(full), ENTRY)
+        e["hash"], e["extra"] = full.view("<u8").T
+        # of the many windows that are met once nothing further is needed
+        order = np.argsort(e["hash"], kind="stable")
+        equal = e["hash"][order][1:] == e["hash"][order][:-1]
+        keep = order[np.r_[False, equal] | np.r_[equal, False]]
+        if not len(keep):
+            return
         table = np.concatenate(docs)
         rank = np.lexsort((table[:, 1], table[:, 0]))
         new = np.r_[True, (table[rank][1:] != table[rank][:-1]).any(axis=1)]
         place = np.empty(len(table), np.int64)
         place[rank] = np.cumsum(new) - 1
         table = table[rank[new]]
-        anchor, extra, start, doc = np.concatenate(anchor), np.concatenate(extra), np.concatenate(start), place[np.concatenate(doc)]
-        order = np.lexsort((start, doc, extra, anchor))
-        anchor, extra, start, doc = anchor[order], extra[order], start[order], doc[order]
-        fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (extra[1:] != extra[:-1])]  # level 2
+        e, several, doc, start = e[keep], np.concatenate(several)[keep], place[np.concatenate(doc)[keep]], np.concatenate(start)[keep]
+        order = np.lexsort((start, doc, e["extra"], e["hash"]))
+        e, several, doc, start = e[order], several[order], doc[order], start[order]
+        fresh = _runs(e)
         # the same place sent twice (a repeated row in two blocks) is the first one too
         first = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
         later = (doc != doc[first]) | (start != start[first])
+        if not last:
+            run = np.cumsum(fresh) - 1
+            later = (np.bincount(run, later | several) > 0)[run]
         yield out(_flags(table[:, 0], table[:, 1], doc[later], start[later]))
 
-    at, parts = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+        for b in batches:
+            local = b.filter(pa.compute.equal(b["kind"], 1))
+            if local.num_rows:
+                yield local.select(["id", "text_hash", "starts"])
+            rest = b.filter(pa.compute.equal(b["kind"], 0))
+            for bucket, *x in zip(*(rest[c].to_pylist() for c in ("bucket", "ids", "body")), strict=True):
+                if bucket != at and parts:
+                    yield from settle(parts)
+                    parts = []
+                at = bucket
+                parts.append(tuple(x))
+        if parts:
+            yield from settle(parts)
+
+    return run
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one; null is empty."""
+    pack = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        local = b.filter(pa.compute.equal(b["kind"], 1))
-        if local.num_rows:
-            yield local.select(["id", "text_hash", "starts"])
-        rest = b.filter(pa.compute.equal(b["kind"], 0))
-        for bucket, *x in zip(*(rest[c].to_pylist() for c in ("bucket", "ids", "entries", "windows")), strict=True):
-            if bucket != at and parts:
-                yield from settle(parts)
-                parts = []
-            at = bucket
-            parts.append(tuple(x))
-    if parts:
-        yield from settle(parts)
+        z = [pack.compress(t.as_py() or b"") for t in b["text"].cast(pa.large_binary())]
+        yield pa.RecordBatch.from_arrays([b["id"], b["text_hash"], pa.array(z, pa.binary())], names=["id", "text_hash", "z"])
 
 
 def _cleaned(size: int):
-    """A document's flags, then its text -> counts and the words that are left."""
+    """A document's places and its text -> counts and the words that are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, starts = None, []
-        for b in batches:
-            rows: list[tuple] = []
-            for i, h, flagged, text in zip(b["id"].to_pylist(), b["text_hash"].to_pylist(), b["starts"].to_pylist(), b["text"].to_pylist(), strict=True):
-                if (i, h) != at:
-                    at, starts = (i, h), []
-                if flagged is not None:
-                    starts.append(np.frombuffer(flagged, "<u4"))
-                    continue
-                words = (text or "").encode().split()  # bytes.split() parts at exactly 0x20 and 0x09-0x0D
-                gone = 0
-                if starts:
-                    where = np.concatenate(starts).astype(np.int64)
-                    cover = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(cover, where, 1)
-                    np.add.at(cover, where + size, -1)
-                    keep = np.cumsum(cover)[:-1] == 0
-                    gone = int(len(words) - keep.sum())
-                    left = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
-                else:
-                    left = b" ".join(words)
-                rows.append((i, len(words), gone, left.decode(), hashlib.sha256(left).hexdigest()))
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], names=["id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+            rows.clear()
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+
+        held = 0
+        for i, _, text, where in _with_places(batches):
+            words = text.split()  # bytes.split() parts at exactly 0x20 and 0x09-0x0D
+            gone = 0
+            if where is not None:
+                cover = np.zeros(len(words) + 1, np.int64)
+                np.add.at(cover, where, 1)
+                np.add.at(cover, where + size, -1)
+                keep = np.cumsum(cover)[:-1] == 0
+                gone = int(len(words) - keep.sum())
+                words, n = [w for w, k in zip(words, keep.tolist(), strict=True) if k], len(words)
+            else:
+                n = len(words)
+            left = b" ".join(words)
+            rows.append((i, n, gone, left.decode(), hashlib.sha256(left).hexdigest()))
+            held += len(left)
+            if held > BLOCK_BYTES:
+                yield out()
+                held = 0
+        yield out()
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20) -> DataFrame:
-    """id, n_words, n_removed, kept_text, kept_sha256; one row per row of ``docs``. ``size``: words of a window, even."""
-    if size % 2 or size < 2:
-        raise ValueError("the window must have an even number of words")
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20, base: int | None = None, word_bits: int = 64) -> DataFrame:
+    """id, n_words, n_removed, kept_text, kept_sha256; one row per row of ``docs``.
+
+    ``size``: words of a window; ``base``: those of the first level's, ``size``
+    halved once or several times; ``word_bits``: of a word's first hash.
+    """
+    base = base or size // 2
     least = -(2**63)
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(2**32)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sent = own.mapInArrow(_sent(size, buckets), MESSAGE)
-    flagged = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_received, "id long, text_hash long, starts binary")
-    both = flagged.withColumn("text", F.lit(None).cast("string")).unionByName(own.withColumn("starts", F.lit(None).cast("binary")))
-    rows = both.repartition("id", "text_hash").sortWithinPartitions("id", "text_hash", F.col("starts").isNull())
-    made = rows.select("id", "text_hash", "starts", "text").mapInArrow(_cleaned(size), "id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    chars = docs.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = int(min(MOST_BUCKETS, max(16, chars // BUCKET_CHARS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    places = "id long, text_hash long, starts binary"
+
+    def texts_with(found: DataFrame) -> DataFrame:
+        packed = own.mapInArrow(_packed, "id long, text_hash long, z binary").withColumn("starts", F.lit(None).cast("binary"))
+        both = found.withColumn("z", F.lit(None).cast("binary")).unionByName(packed)
+        return both.repartition("id", "text_hash").sortWithinPartitions("id", "text_hash", F.col("starts").isNull()).select("id", "text_hash", "starts", "z")
+
+    found = None
+    for length in lengths(size, base):
+        sent = (own if found is None else texts_with(found)).mapInArrow(_sent(size, base, length, buckets, word_bits), MESSAGE)
+        found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_received(length == size), places)
+        found = materialize(found, f"repeats-{length}")
+        if found.isEmpty():  # no candidates survive
+            break
+    made = texts_with(found).mapInArrow(_cleaned(size), "id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return made.withColumn("id", F.when(F.col("id") != least, F.col("id"))).withColumnRenamed("id", id_col)

@@ -40,6 +40,8 @@ def _values(fold: bool) -> np.ndarray:
 
 
 VALUES = {False: _values(False), True: _values(True)}
+#: Of an independent second hash.
+OTHER_VALUES = np.random.default_rng(77003).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def powers(n: int) -> np.ndarray:
@@ -96,8 +98,8 @@ def spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray = BLANK) -> tuple[n
     return s, e, np.searchsorted(s, rel)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, fold: bool = False, sep: np.ndarray = BLANK, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of the rows, and each row's first word (len rows + 1). ``fold``: A-Z count as a-z.
+def word_hashes(data: np.ndarray, off: np.ndarray, fold: bool = False, sep: np.ndarray = BLANK, stems: tuple[int, ...] = (), other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of the rows, and each row's first word (len rows + 1). ``fold``: A-Z count as a-z; ``other``: by other values of the bytes.
 
     With ``stems`` the hashes have a column for the word and one for each number of its first bytes, 0 for words that are no longer than that.
     """
@@ -105,7 +107,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray, fold: bool = False, sep: np.n
     if not len(s):
         return np.zeros((0, 1 + len(stems)) if stems else 0, np.uint64), first
     seg = data[off[0] : off[-1]]
-    value = VALUES[fold].copy()
+    value = (OTHER_VALUES if other else VALUES[fold]).copy()
     value[sep] = 0
     size = e - s
     pos = np.arange(len(seg)) - np.repeat(s, np.diff(np.r_[s, len(seg)])) if not s[0] else np.r_[np.zeros(s[0], np.int64), np.arange(s[0], len(seg)) - np.repeat(s, np.diff(np.r_[s, len(seg)]))]

@@ -52,6 +52,26 @@ def test_repeats(which, request):
     assert sum(x[1] for x in got.values()) > 0
 
 
+@pytest.mark.parametrize("word_bits", [1, 6])
+def test_repeats_with_colliding_hashes(odd, word_bits):
+    """Nearly all words collide in the first hash; the other one still tells windows apart."""
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op2_substring.remove_repeats(odd, word_bits=word_bits).collect()}
+    assert got == remove_repeats(pairs(odd))
+
+
+@pytest.mark.parametrize(("size", "base"), [(20, 5), (16, 2), (12, 12)])
+def test_repeats_at_several_levels(odd, size, base):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op2_substring.remove_repeats(odd, size=size, base=base).collect()}
+    assert got == remove_repeats(pairs(odd), size)
+
+
+def test_no_repeats(spark):
+    """No candidate survives the first level."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(5)]
+    got = op2_substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(i, 60, 0) for i in range(5)]
+
+
 def test_repeated_rows_are_one_document(spark):
     text = " ".join(map(str, range(40)))
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string").repartition(3)
