@@ -40,7 +40,7 @@ def op5_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op6_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+    return op6_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "part", "rate")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,13 +302,50 @@ def test_mix(which, request):
     for r in got:
         assert r.size == size[r.doc_id] and r.source_size == total[source[r.doc_id]]
         assert r.target == pytest.approx(want[source[r.doc_id]])
-        assert 0 <= r.taken <= 2 * r.size
+        assert 0 <= r.taken <= 2 * r.size and r.taken == r.copies * r.size + r.part and 0 <= r.part < max(1, r.size)
         taken[source[r.doc_id]] = taken.get(source[r.doc_id], 0) + r.taken
     for s in names:
         assert abs(taken[s] - want[s]) <= 0.51
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, op6_mix.mix(df.repartition(2)).collect()), key=str)
 
 
+@pytest.mark.parametrize("which", ["odd", "documents"])
+def test_tilts_solve_the_dual(which, request):
+    """Rates against nested bisection: each source's dual for a given theta, and theta."""
+    df = request.getfixturevalue(which)
+    got = df.select("doc_id", "source").join(op6_mix.mix(df), "doc_id").collect()
+    size = np.array([r["size"] for r in got], float)
+    name = np.array([str(r["source"]) for r in got])
+    target = {str(r["source"]): r["target"] for r in got}
+    x = np.log(np.maximum(size, 1))
+    mean = (size * x).sum() / size.sum()
+    x = (x - mean) / np.sqrt((size * x * x).sum() / size.sum() - mean**2)
+
+    def rates(theta):
+        out = np.zeros(len(size))
+        for s, want in target.items():
+            own = name == s
+            if want >= 2 * size[own].sum() * (1 - 1e-12):
+                out[own] = 2.0 if want else 0.0
+                continue
+            low, high = -30.0, 30.0
+            for _ in range(200):
+                mid = (low + high) / 2
+                r = np.minimum(2, np.exp(mid + theta * x[own]))
+                low, high = (mid, high) if (size[own] * r).sum() < want else (low, mid)
+            out[own] = r
+        return out
+
+    low, high = -20.0, 20.0
+    for _ in range(60):
+        theta = (low + high) / 2
+        off = (size * rates(theta) * x).sum() + op6_mix.SOFT * size.sum() * theta
+        low, high = (theta, high) if off < 0 else (low, theta)
+    want = rates(theta)
+    assert len({round(r["rate"], 6) for r in got}) > 5  # documents of one source differ
+    assert np.abs(np.array([r["rate"] for r in got]) - want)[size > 0].max() < 1e-5
+
+
 def exact_groups(df):
     from brute import FOLD
 
