@@ -73,13 +73,13 @@ def lengths(size: int, base: int) -> list[int]:
     return out
 
 
-def representatives(first: np.ndarray, size: int, base: int, length: int) -> np.ndarray:
-    """Where each full window's representative of ``length`` words begins; ``first``: hashes of a text's ``base``-word windows."""
-    at = anchors(first, size - base + 1)
-    start = np.arange(len(at))
+def representatives(first: np.ndarray, size: int, base: int, length: int) -> list[np.ndarray]:
+    """Where each full window's representatives of the levels up to ``length`` begin; ``first``: hashes of a text's ``base``-word windows."""
+    out = [anchors(first, size - base + 1)]
+    start = np.arange(len(out[0]))
     for long in lengths(length, base)[1:]:
-        at = np.clip(at - long // 4, start, start + size - long)
-    return at
+        out.append(np.clip(out[-1] - long // 4, start, start + size - long))
+    return out
 
 
 def _hashed(data: np.ndarray, off: np.ndarray, upto: int, base: int, word_bits: int, other: bool) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -103,12 +103,11 @@ def _entries(data: np.ndarray, off: np.ndarray, size: int, base: int, length: in
             if b - a < size:
                 continue
             least = levels[0][a : b - base + 1]
-            at = representatives(least, size, base, length)
+            *_, at = every = representatives(least, size, base, length)
             if known is not None:
-                before = representatives(least, size, base, length // 2)
                 again = np.zeros(b - a, bool)
                 again[known[r]] = True
-                at = at[again[before]]
+                at = at[again[every[-2]]]
             at = np.unique(at)
             e = np.zeros(len(at), ENTRY)
             e["hash"], e["row"], e["start"] = levels[-1][a + at], r, at
@@ -125,20 +124,47 @@ def _runs(e: np.ndarray) -> np.ndarray:
     return new
 
 
-def _flags(ids: np.ndarray, text: np.ndarray, row: np.ndarray, start: np.ndarray) -> dict:
-    """Places by row, packed."""
-    order = np.lexsort((start, row))
-    row, start = row[order], start[order]
-    cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-    return {"id": ids[row[cut]], "text_hash": text[row[cut]], "starts": [x.astype("<u4").tobytes() for x in np.split(start, cut[1:])] if len(row) else []}
+def part_of(ids: np.ndarray, text: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the documents that (id, hash of the text) belongs to."""
+    with np.errstate(over="ignore"):
+        return (mix(ids.astype(np.uint64) ^ mix(text.astype(np.uint64) + np.uint64(1))) % np.uint64(parts)).astype(np.int64)
+
+
+def _flags(ids: np.ndarray, text: np.ndarray, row: np.ndarray, start: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Places by part of the documents, packed."""
+    part = part_of(ids, text, parts)
+    order = np.lexsort((start, row, part[row]))
+    row, start = row[order], np.ascontiguousarray(start[order].astype("<u4"))
+    cut = np.flatnonzero(np.r_[True, part[row][1:] != part[row][:-1]]).tolist()
+    for a, b in zip(cut, [*cut[1:], len(row)], strict=True):
+        used, count = np.unique(row[a:b], return_counts=True)
+        yield int(part[row[a]]), np.uint32(len(used)).tobytes() + _steps(ids[used].astype("<u8")) + text[used].astype("<u4").tobytes() + count.astype("<u4").tobytes() + _steps(start[a:b])
 
 
-MESSAGE = "bucket long, kind int, id long, text_hash long, starts binary, ids binary, body binary"
+def _unflagged(raw: list[bytes]) -> dict[tuple[int, int], np.ndarray]:
+    """Places of each document (id, hash of the text) of a part."""
+    keys, count, places = [], [], []
+    for x in raw:
+        m = int.from_bytes(x[:4], "little")
+        ids, text = _unstepped(x, "<u8", m, 4).astype(np.int64), np.frombuffer(x, "<u4", m, 4 + 8 * m).astype(np.int64)
+        keys.append(np.stack([ids, text]))
+        count.append(np.frombuffer(x, "<u4", m, 4 + 12 * m))
+        places.append(_unstepped(x, "<u4", (len(x) - 4) // 4 - 4 * m, 4 + 16 * m))
+    if not keys:
+        return {}
+    keys, count, places = np.concatenate(keys, axis=1), np.concatenate(count), np.concatenate(places)
+    both, of = np.unique(keys, axis=1, return_inverse=True)
+    of = np.repeat(of.reshape(-1), count)
+    places = places[np.argsort(of, kind="stable")].astype(np.int64)
+    return dict(zip(map(tuple, both.T.tolist()), np.split(places, np.cumsum(np.bincount(of))[:-1]), strict=True))
 
 
-def _message(n: int, **cols) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int64(), "kind": pa.int32(), "id": pa.int64(), "text_hash": pa.int64(), "starts": pa.binary(), "ids": pa.binary(), "body": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
+MESSAGE = "bucket long, part long, ids binary, body binary"
+
+
+def _message(bucket: int, part: int | None, ids: bytes | None, body: bytes) -> pa.RecordBatch:
+    """A block's hashes for a bucket, or (with a part) places that it found itself."""
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([part], pa.int64()), pa.array([ids], pa.binary()), pa.array([body], pa.binary())], names=["bucket", "part", "ids", "body"])
 
 
 def _steps(x: np.ndarray) -> bytes:
@@ -180,9 +206,8 @@ def _sent(size: int, base: int, length: int, buckets: int, word_bits: int):
         several = np.diff(np.r_[np.flatnonzero(new), len(e)]) > 1
         again = e[~new] if last else e[several[np.cumsum(new) - 1]]
         if len(again):
-            f = _flags(ids, text, again["row"], again["start"])
-            n = len(f["id"])
-            yield _message(n, kind=[1] * n, bucket=np.arange(n) % buckets, **f)
+            for part, body in _flags(ids, text, again["row"], again["start"], buckets):
+                yield _message(part, part, None, body)
         e = e[new]
         bucket = (mix(e["hash"]) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((e["start"], e["row"], bucket))
@@ -192,7 +217,7 @@ def _sent(size: int, base: int, length: int, buckets: int, word_bits: int):
             part = e[cut[b] : cut[b + 1]]
             used, row = np.unique(part["row"], return_inverse=True)
             body = _short(part, last).tobytes() + several[cut[b] : cut[b + 1]].tobytes() + _steps(row.astype("<u4")) + _steps(np.ascontiguousarray(part["start"]))
-            yield _message(1, kind=[0], bucket=[b], ids=[_steps(ids[used].astype("<u8")) + text[used].astype("<u4").tobytes()], body=[body])
+            yield _message(b, None, _steps(ids[used].astype("<u8")) + text[used].astype("<u4").tobytes(), body)
 
     def blocks(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         """``rows``: id, hash of the text, text, places known."""
@@ -227,24 +252,24 @@ def _sent(size: int, base: int, length: int, buckets: int, word_bits: int):
 
 
 def _with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows by (id, text_hash), places before texts -> id, hash of the text, text, the places or None."""
-    at, starts, unpack = None, [], zstandard.ZstdDecompressor()
+    """Rows by part, places before texts -> id, hash of the text, text, the places or None."""
+    at, raw, places, unpack = None, [], None, zstandard.ZstdDecompressor()
     for b in batches:
-        for i, h, raw, z in zip(b["id"].to_pylist(), b["text_hash"].to_pylist(), b["starts"].to_pylist(), b["z"].to_pylist(), strict=True):
-            if (i, h) != at:
-                at, starts = (i, h), []
-            if raw is not None:
-                starts.append(np.frombuffer(raw, "<u4"))
+        for part, i, h, body, z in zip(*(b[c].to_pylist() for c in ("part", "id", "text_hash", "body", "z")), strict=True):
+            if part != at:
+                at, raw, places = part, [], None
+            if body is not None:
+                raw.append(body)
                 continue
-            yield i, h, unpack.decompress(z), np.concatenate(starts).astype(np.int64) if starts else None
+            if places is None:
+                places, raw = _unflagged(raw), []
+            yield i, h, unpack.decompress(z), places.get((i, h))
 
 
-def _received(last: bool):
-    """All entries of some buckets, bucket by bucket -> (id, text_hash, starts) of windows that occur elsewhere (at the last level: earlier)."""
+def _received(last: bool, parts: int):
+    """All entries of some buckets, bucket by bucket -> (part, body): places of windows that occur elsewhere (at the last level: earlier)."""
     wide = LONG if last else SHORT
-
-    def out(f: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(f["id"], pa.int64()), pa.array(f["text_hash"], pa.int64()), pa.array(f["starts"], pa.binary())], names=["id", "text_hash", "starts"])
+    n_parts = parts
 
     def settle(parts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         hashes, several, doc, start, docs, base = [], [], [], [], [], 0
@@ -283,15 +308,16 @@ def _received(last: bool):
         if not last:
             run = np.cumsum(fresh) - 1
             later = (np.bincount(run, later | several) > 0)[run]
-        yield out(_flags(table[:, 0], table[:, 1], doc[later], start[later]))
+        found = list(_flags(table[:, 0], table[:, 1], doc[later], start[later], n_parts)) if later.any() else []
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["part", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts = None, []
         for b in batches:
-            local = b.filter(pa.compute.equal(b["kind"], 1))
+            local = b.filter(pa.compute.is_valid(b["part"]))
             if local.num_rows:
-                yield local.select(["id", "text_hash", "starts"])
-            rest = b.filter(pa.compute.equal(b["kind"], 0))
+                yield local.select(["part", "body"])
+            rest = b.filter(pa.compute.is_null(b["part"]))
             for bucket, *x in zip(*(rest[c].to_pylist() for c in ("bucket", "ids", "body")), strict=True):
                 if bucket != at and parts:
                     yield from settle(parts)
@@ -304,12 +330,17 @@ def _received(last: bool):
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed one by one; null is empty."""
-    pack = zstandard.ZstdCompressor(level=1)
-    for b in batches:
-        z = [pack.compress(t.as_py() or b"") for t in b["text"].cast(pa.large_binary())]
-        yield pa.RecordBatch.from_arrays([b["id"], b["text_hash"], pa.array(z, pa.binary())], names=["id", "text_hash", "z"])
+def _packed(parts: int):
+    """Texts compressed one by one, with their part; null is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            z = [pack.compress(t.as_py() or b"") for t in b["text"].cast(pa.large_binary())]
+            part = part_of(b["id"].to_numpy(), b["text_hash"].to_numpy(), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(part), b["id"], b["text_hash"], pa.array(z, pa.binary())], names=["part", "id", "text_hash", "z"])
+
+    return run
 
 
 def _cleaned(size: int):
@@ -358,18 +389,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = -(2**63)
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(2**32)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     chars = docs.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
+    # as many parts of the documents as buckets of hashes
     buckets = int(min(MOST_BUCKETS, max(16, chars // BUCKET_CHARS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    places = "id long, text_hash long, starts binary"
 
     def texts_with(found: DataFrame) -> DataFrame:
-        packed = own.mapInArrow(_packed, "id long, text_hash long, z binary").withColumn("starts", F.lit(None).cast("binary"))
-        both = found.withColumn("z", F.lit(None).cast("binary")).unionByName(packed)
-        return both.repartition("id", "text_hash").sortWithinPartitions("id", "text_hash", F.col("starts").isNull()).select("id", "text_hash", "starts", "z")
+        packed = own.mapInArrow(_packed(buckets), "part long, id long, text_hash long, z binary")
+        both = packed.unionByName(found, allowMissingColumns=True)
+        return both.repartition("part").sortWithinPartitions("part", F.col("body").isNull()).select("part", "id", "text_hash", "body", "z")
 
     found = None
     for length in lengths(size, base):
         sent = (own if found is None else texts_with(found)).mapInArrow(_sent(size, base, length, buckets, word_bits), MESSAGE)
-        found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_received(length == size), places)
+        found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_received(length == size, buckets), "part long, body binary")
         found = materialize(found, f"repeats-{length}")
         if found.isEmpty():  # no candidates survive
             break
