@@ -44,7 +44,7 @@ from .textops import buffers, chunks, spans
 
 CELL_BITS, LEVELS, CORRECTIONS = 12, 3, 4
 #: Newton steps at most, the change that ends them, and how soft the constraint on length is.
-STEPS, ENOUGH, SOFT = 40, 1e-9, 1e-3
+STEPS, ENOUGH, SOFT = 40, 1e-9, 0.05
 #: Sums are of whole multiples of 1 / UNIT.
 UNIT = 1 << 20
 
@@ -145,7 +145,7 @@ class Dual:
                 state, theta = materialize(self._moved(best[3], best[4], size), "mix-dual"), best[2] + size * best[4]
                 continue
             grad = got["x"] + soft * theta
-            step = -(grad - got["cg"]) / max(got["q"] - got["cc"] + soft, small)
+            step = float(np.clip(-(grad - got["cg"]) / max(got["q"] - got["cc"] + soft, small), -1, 1))
             best, size = (value, state, theta, here, step), 1.0
             if max(abs(step), got["off"] / self.words) < ENOUGH:
                 break
