@@ -1,13 +1,13 @@
 """Byte-level BPE ids for whole batches of texts.
 
 The pre-tokenizer's pattern is evaluated for a whole batch at once on arrays of
-code points; each distinct piece is then encoded once per worker and looked up
-by hash afterwards. The ids are those of the tokenizer applied to whole texts.
+code points; each distinct piece is then encoded by the tokenizer once per worker
+and looked up by hash afterwards. The ids are those of the tokenizer applied to
+whole texts; texts with a special token's string are handed to it whole.
 """
 
 from __future__ import annotations
 
-import base64
 import re
 
 import numpy as np
@@ -73,15 +73,18 @@ def piece_starts(cp: np.ndarray, doc: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts to ids; keeps the ids of pieces that it has seen."""
 
-    def __init__(self, ranks_path: str, pattern: str):
-        import tiktoken
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.model = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        (self.line,) = self.model.encode_ordinary("\n")
+        self.model = Tokenizer.from_file(path)
+        #: Strings with ids of their own; texts that contain one are encoded whole.
+        self.special = [x.content for x in self.model.get_added_tokens_decoder().values()]
+        (self.line,) = self.plain("\n")
         self.reset()
 
+    def plain(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
+
     def reset(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted, with the place of each key's ids
         self.places = np.zeros(0, np.int64)
@@ -93,10 +96,10 @@ class Encoder:
     def learn(self, keys: np.ndarray, pieces: list[str]) -> np.ndarray:
         """Add pieces not seen before; their places. Pieces with no line end are encoded in one call, with a line end (one id, which none of them has) between them."""
         odd = [i for i, p in enumerate(pieces) if p.isspace() or WHITE_INSIDE.search(p)]
-        own = [self.model.encode_ordinary(pieces[i]) for i in odd]
+        own = [self.plain(pieces[i]) for i in odd]
         plain = np.ones(len(pieces), bool)
         plain[odd] = False
-        ids = np.array(self.model.encode_ordinary("\n".join([p for p, x in zip(pieces, plain.tolist(), strict=True) if x])), np.uint32)
+        ids = np.array(self.plain("\n".join([p for p, x in zip(pieces, plain.tolist(), strict=True) if x])), np.uint32)
         cut = np.flatnonzero(ids == self.line)
         count = np.zeros(len(pieces), np.int64)
         if plain.any():
@@ -134,8 +137,11 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str], most: int = 1 << 19) -> list[np.ndarray]:
-        size = np.cumsum([0, *map(len, texts)])
-        return [x for i, j in chunks(size, most) for x in self._encode(texts[i:j])]
+        whole = {i: np.array(self.plain(t), np.uint32) for i, t in enumerate(texts) if any(x in t for x in self.special)}
+        rest = ["" if i in whole else t for i, t in enumerate(texts)]
+        size = np.cumsum([0, *map(len, rest)])
+        made = [x for i, j in chunks(size, most) for x in self._encode(rest[i:j])]
+        return [whole.get(i, x) for i, x in enumerate(made)]
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         joined = "".join(texts)
@@ -172,6 +178,6 @@ def encoder(name: str = "byte_bpe_50k", folder: str | None = None) -> Encoder:
     if (key := f"{folder}/{name}") not in _encoders:
         import public_tokenizers
 
-        path = f"{folder}/{name}.tiktoken" if folder else public_tokenizers.path(f"{name}.tiktoken")
-        _encoders[key] = Encoder(path, public_tokenizers.PATTERN)
+        path = f"{folder}/{name}.json" if folder else public_tokenizers.path(f"{name}.json")
+        _encoders[key] = Encoder(path)
     return _encoders[key]

@@ -21,7 +21,7 @@ def odd_rows():
     texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 120))) for _ in range(40)]
     passage = " ".join(r.choice(vocabulary) for _ in range(30))
     texts += [t.upper() for t in texts[:5]] + texts[5:9] + [None, "", " \t\n", "one", "One", "é É", "a b c d", "A b c d"]
-    texts += [f"{t} {passage} x {t[:20]}" for t in texts[10:16]] + [passage, passage + " " + passage, " ".join(vocabulary * 60), "😀 " * 50]
+    texts += [f"{t} {passage} x {t[:20]}" for t in texts[10:16]] + [passage, passage + " " + passage, " ".join(vocabulary * 60), "😀 " * 50, "a <|endoftext|> b<|endoftext|>", "<|endoftext|>"]
     for t in [" ".join(r.choice(vocabulary) for _ in range(100)) for _ in range(4)]:
         for _ in range(6):
             w = t.split()
@@ -224,7 +224,6 @@ def test_packing_round_trip(which, request):
 
     df = request.getfixturevalue(which)
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     ids = {i: [*model.encode(t or "", add_special_tokens=False).ids, 1] for i, t in pairs(df)}
     rows = op3_pack.pack_documents(df).collect()
     pieces, sequences = {}, {}
@@ -245,11 +244,57 @@ def test_packing_round_trip(which, request):
         for r in sorted(own, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 2048
+        assert at <= 2048 and len(own) <= op3_pack.SEGMENTS
         padding += 0 if at & (at - 1) == 0 else 2048 - at
     assert padding == 0
 
 
+def test_many_short_documents(spark):
+    """The limit on segments binds: no sequence has more, and none is padded."""
+    rows = [(i, "a" * (i % 3)) for i in range(5000)]
+    got = op3_pack.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append(r.length)
+    assert max(map(len, sequences.values())) == op3_pack.SEGMENTS
+    assert all(sum(x) == 2048 or sum(x) & (sum(x) - 1) == 0 for x in sequences.values()) and len(got) < 1.1 * len(rows)
+
+
+def test_packing_of_conversations(spark):
+    """Loss falls on answers alone; all three limits hold, and sequences are few."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from gristmill.llm import op10_chat
+
+    turns = op10_chat.parse_transcripts(spark.read.parquet(f"{SF}/conversations.parquet")).cache()
+    got = op3_pack.pack_conversations(turns, tokens=512, segments=6, loss=200).collect()
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    count = lambda t: len(model.encode(t, add_special_tokens=False).ids)
+    want, exchange = {}, {}
+    for r in sorted(turns.collect(), key=lambda r: (r.conv_id, r.turn, r.rendered)):
+        said, n = exchange.setdefault(r.conv_id, ["", 0])
+        if r.role_pred == "assistant":
+            answer = count(r.rendered + "\n") + 1
+            want[r.conv_id, n] = (count(said) + answer, answer)
+            exchange[r.conv_id] = ["", n + 1]
+        else:
+            exchange[r.conv_id][0] += r.rendered + "\n"
+    for conv, (said, n) in exchange.items():
+        if said:
+            want[conv, n] = (count(said) + 1, 0)
+    pieces, sequences = {}, {}
+    for r in got:
+        pieces.setdefault((r.conv_id, r.exchange), []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    assert {k: (sum(r.length for r in v), sum(r.loss for r in v)) for k, v in pieces.items()} == want
+    for s in sequences.values():
+        assert sum(r.length for r in s) <= 512 and len(s) <= 6 and sum(r.loss for r in s) <= 200
+    assert any(sum(r.loss for r in s) > 190 for s in sequences.values()) and any(len(s) == 6 for s in sequences.values())
+    least = max(sum(n for n, _ in want.values()) / 512, sum(x for _, x in want.values()) / 200, len(want) / 6)
+    assert sum(1 for s in sequences.values() if sum(r.length for r in s) > 64) < 1.5 * least + 16
+
+
 @pytest.mark.parametrize("cut", [True, False])
 def test_packer_limits(cut):
     r = random.Random(1)
