@@ -4,8 +4,9 @@ A transcript is a sequence of lines. Hidden states are the roles; a line is
 observed through the speaker marker that it begins with, if any, and through
 features of the line (length, marks at its end, bullets, place in its row and
 in the conversation). Emissions and the transitions from row to row are
-estimated from labelled rows of the training folds; inside a row the state
-changes at markers alone. Viterbi finds the most likely roles, and consecutive
+estimated from labelled rows of the training folds, and so are how often a
+marker tells the truth and how rarely the speaker changes without one inside a
+row. Viterbi finds the most likely roles, and consecutive
 lines of one speaker are rendered as one turn without their marker:
 ``<|role|>``, line end, text, line end, ``<|end|>``.
 
@@ -44,8 +45,10 @@ SPEAKERS = {"system": 0, "instruction": 0, "instructions": 0, "user": 1, "human"
 MARKER = re.compile(r"^\s*(?:<\|im_start\|>\s*(\w+)\s*$|<\|(?!im_)(\w+)\|>|\[(\w+)\]:?|#{1,6}\s*(\w+)\s*:?\s*$|\**(\w+)\**\s*:\**(?=\s|$))[ \t]?", re.I)
 CLOSER = re.compile(r"^\s*(?:<\|im_end\|>|<\|end\|>|<\|eot_id\|>)\s*$")
 FEATURES = (10, 6, 3, 5, 4)  # values of: length, last mark, bullet or quote, lines in the row, place of the row
-STAY = 1e-4  # chance that a speaker changes inside a row without a marker
-MARKED = 0.98  # chance that a marker tells the truth
+#: Before anything is counted: lines that did not change the speaker without a marker, and markers that told the truth and that did not.
+STAYED, TRUE, FALSE = 10_000, 49.0, 0.5
+#: Kinds of counts beside those of FEATURES.
+BEGIN, MOVE, TOLD, KEPT = -2, -1, -3, -4
 
 
 def marker(line: str) -> tuple[int, str]:
@@ -75,22 +78,27 @@ class Model:
 
     def __init__(self, counts: dict[tuple[int, int, int], int]):
         n = len(ROLES)
-        begin, move = np.ones(n), np.ones((n, n))
+        begin, move, told, stayed = np.ones(n), np.ones((n, n)), np.full((n, n), FALSE) + np.eye(n) * (TRUE - FALSE), STAYED
         seen = [np.ones((n, v)) for v in FEATURES]
         for (kind, i, j), c in counts.items():
-            if kind == -2:
+            if kind == BEGIN:
                 begin[j] += c
-            elif kind == -1:
+            elif kind == MOVE:
                 move[i, j] += c
+            elif kind == TOLD:
+                told[i, j] += c
+            elif kind == KEPT:
+                stayed += c
             else:
                 seen[kind][i, j] += c
         self.begin = np.log(begin / begin.sum())
         self.move = np.log(move / move.sum(axis=1, keepdims=True))
         self.seen = [np.log(x / x.sum(axis=1, keepdims=True)) for x in seen]
-        stay = np.full((n, n), STAY / (n - 1))
-        np.fill_diagonal(stay, 1 - STAY)
+        # labelled rows have one speaker, so a change without a marker has not been seen
+        stay = np.full((n, n), 1 / (stayed + 1) / (n - 1))
+        np.fill_diagonal(stay, stayed / (stayed + 1))
         self.stay, self.free = np.log(stay), np.zeros((n, n))
-        self.told = np.log(np.full((n, n), (1 - MARKED) / (n - 1)) + np.eye(n) * (MARKED - (1 - MARKED) / (n - 1)))
+        self.told = np.log(told / told.sum(axis=1, keepdims=True))
 
     def step(self, line: tuple, first: bool) -> tuple[np.ndarray, np.ndarray]:
         """Transition into the line and its emission; ``first``: no line of the conversation came before."""
@@ -165,8 +173,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state = ROLES.index(role) if role in ROLES else None
             if state is not None:
                 if before is not None or (start and lines[0][2][4] == 0):
-                    key = (-2, 0, state) if before is None else (-1, before, state)
+                    key = (BEGIN, 0, state) if before is None else (MOVE, before, state)
                     total[key] = total.get(key, 0) + 1
+                if lines[0][0] >= 0:
+                    total[TOLD, state, lines[0][0]] = total.get((TOLD, state, lines[0][0]), 0) + 1
+                if len(lines) > 1 and all(said < 0 for said, *_ in lines[1:]):
+                    total[KEPT, 0, 0] = total.get((KEPT, 0, 0), 0) + len(lines) - 1
                 for f, v in enumerate(lines[0][2]):
                     total[f, state, v] = total.get((f, state, v), 0) + 1
             before = state

@@ -187,7 +187,7 @@ def fit(table: DataFrame, labels: DataFrame, label_col: str = "quality", folds:
     """Fit on labelled rows of the folds other than 0; ``labels`` has doc_id and ``label_col``."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and id is not null").distinct()
     known = sampled(known.filter(fold("id", folds) != 0), "id", most)
-    rows = table.join(known, "id").select("id", "x", "y").dropDuplicates(["id", "y"]).toPandas().sort_values(["id", "y"])  # at most about `most` rows
+    rows = table.join(known, "id").groupBy("id", "y").agg(F.min("x").alias("x")).toPandas().sort_values(["id", "y"])  # at most about `most` rows
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, len(FEATURES)).astype(np.float64)
     return Additive().fit(x, rows["y"].to_numpy(np.float64))
 

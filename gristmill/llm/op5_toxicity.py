@@ -103,23 +103,7 @@ class Network:
                 ids, start = _joined([texts[i] for i in pick])
                 z, h, where, x = self.forward(ids, start, keep=True)
                 dz = weight[pick] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)
-                g = {k: np.zeros_like(a) for k, a in self.p.items() if k != "e"}
-                g["out"], g["bias"] = h.T @ dz + 1e-4 * self.p["out"], dz.sum(keepdims=True)
-                rows, grads = [], []
-                for n, w in enumerate(WIDTHS):
-                    dh = dz[:, None] * self.p["out"][n * FILTERS : (n + 1) * FILTERS] * (h[:, n * FILTERS : (n + 1) * FILTERS] > 0)
-                    g[f"b{w}"] = dh.sum(axis=0)
-                    for j in range(w):
-                        place = np.minimum(where[n] + j, len(ids) - 1)  # (texts, filters)
-                        g[f"k{w}"][j] = np.einsum("df,dfe->ef", dh, x[place])
-                        back = (dh[:, :, None] * self.p[f"k{w}"][j].T[None]).reshape(-1, WIDTH)
-                        for c in range(ids.shape[1]):
-                            rows.append(ids[place, c].reshape(-1))
-                            grads.append(back)
-                rows, grads = np.concatenate(rows), np.concatenate(grads)
-                used, back = np.unique(rows, return_inverse=True)
-                ge = np.zeros((len(used), WIDTH))
-                np.add.at(ge, back, grads)
+                g, used, ge = self.gradient(ids, dz, h, where, x)
                 t += 1
                 scale = rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
                 for k, a in g.items():
@@ -131,6 +115,27 @@ class Network:
                 self.p["e"][used] -= 0.3 * scale * m["e"][used] / (np.sqrt(v["e"][used]) + 1e-8)
                 self.p["e"][PAD] = 0
 
+    def gradient(self, ids: np.ndarray, dz: np.ndarray, h: np.ndarray, where: list[np.ndarray], x: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Of all parameters but the embeddings, then the rows of these that are used and their gradients; ``dz``: the loss's for each text."""
+        g = {k: np.zeros_like(a) for k, a in self.p.items() if k != "e"}
+        g["out"], g["bias"] = h.T @ dz + 1e-4 * self.p["out"], dz.sum(keepdims=True)
+        rows, grads = [], []
+        for n, w in enumerate(WIDTHS):
+            own = slice(n * FILTERS, (n + 1) * FILTERS)
+            dh = dz[:, None] * self.p["out"][own] * (h[:, own] > 0)
+            g[f"b{w}"] = dh.sum(axis=0)
+            for j in range(w):
+                place = np.minimum(where[n] + j, len(ids) - 1)  # (texts, filters)
+                g[f"k{w}"][j] = np.einsum("df,dfe->ef", dh, x[place])
+                back = (dh[:, :, None] * self.p[f"k{w}"][j].T[None]).reshape(-1, WIDTH)
+                for c in range(ids.shape[1]):
+                    rows.append(ids[place, c].reshape(-1))
+                    grads.append(back)
+        used, at = np.unique(np.concatenate(rows), return_inverse=True)
+        ge = np.zeros((len(used), WIDTH))
+        np.add.at(ge, at, np.concatenate(grads))
+        return g, used, ge
+
     def start(self, texts: list[np.ndarray], y: np.ndarray) -> None:
         """The first channel: each word's and stem's log odds between the classes, shrunk by how few texts have it."""
         n = np.zeros((2, BUCKETS + 1))
@@ -191,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
 
     # the join keeps at most about `most` rows; their texts are smaller than their words' numbers
-    rows = own.join(known, "id").select("id", "lang", "y", "text").dropDuplicates(["id", "y"]).toPandas().sort_values(["id", "y"])
+    rows = own.join(known, "id").groupBy("id", "y").agg(F.min(F.struct("text", "lang")).alias("x")).select("id", "x.lang", "y", "x.text").toPandas().sort_values(["id", "y"])
     data, off = buffers(pa.array(rows.pop("text"), pa.string()))
     texts = [x.astype(np.int32) for i, j in chunks(off) for x in word_ids(data, off[i : j + 1])]
     y, langs = rows["y"].to_numpy(np.float64), [x if isinstance(x, str) else None for x in rows["lang"]]

@@ -1,14 +1,14 @@
 """Language identification with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. A trigram's vector binds the
-vectors of its letters, the first rotated twice and the second once; a text's
-vector bundles (adds) those of all its trigrams, and a language's prototype
-those of all texts of the language. A text gets the language whose prototype
-has the largest cosine with its vector.
+Each letter (code point, in lower case) has a random vector of +1 and -1, made
+from the code point and a seed. A trigram's vector binds the vectors of its
+letters, the first rotated twice and the second once; a text's vector bundles
+(adds) those of all its trigrams, and a language's prototype those of all texts
+of the language. A text gets the language whose prototype has the largest cosine
+with its vector.
 
-Prototypes need only the number of times that each trigram occurs in each
-language, which is counted over all training rows and added up before the
-shuffle; at most SYMBOLS ** 3 counts a language reach the driver.
+Prototypes are bundled where the texts are and added up per language in Spark:
+WIDTH numbers a language reach the driver.
 
 Defined results: null texts and texts without a letter are `und` with score 0;
 a text whose letters make no known profile gets the first language; without any
@@ -27,48 +27,60 @@ from pyspark.sql import functions as F
 
 from .bpe import LETTER, classes
 from .labelled import fold
-from .textops import chunks
+from .textops import chunks, mix
 
-SYMBOLS, WIDTH, SEED, FOLDS, HELD = 64, 1024, 7, 4, 2
+WIDTH, SEED, FOLDS, HELD = 1024, 7, 4, 2
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 BATCH = 128
 
 _symbols: np.ndarray | None = None
-_letters: np.ndarray | None = None
+_rows = np.full(0x110000, -1, np.int32)  # where a code point's vector is
+_letters = np.zeros((0, WIDTH), np.int8)
 
 
 def symbols() -> np.ndarray:
-    """A symbol for each code point: 0 for what is no letter, 1-26 for a-z, 27-63 shared by all other letters; case does not matter."""
+    """A symbol for each code point: 0 for what is no letter, and the lower case's code point for letters."""
     global _symbols
     if _symbols is None:
-        table = np.zeros(0x110000, np.uint8)
+        table = np.zeros(0x110000, np.int32)
         letters = np.flatnonzero(classes() == LETTER)
-        low = np.array([ord(chr(c).lower()[0]) for c in letters])
-        table[letters] = np.where((low >= 97) & (low < 123), low - 96, 27 + (low * 2654435761 % 2**32 >> 16) % 37)
+        table[letters] = [ord(chr(c).lower()[0]) for c in letters]
         _symbols = table
     return _symbols
 
 
-def vectors(trigrams: np.ndarray) -> np.ndarray:
-    """(len, WIDTH) bound vectors of trigram numbers."""
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """(len, WIDTH) vectors of code points, made when first used."""
     global _letters
-    if _letters is None:
-        _letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, WIDTH))
-    return np.roll(_letters, 2, axis=1)[trigrams >> 12] * np.roll(_letters, 1, axis=1)[trigrams >> 6 & 63] * _letters[trigrams & 63]
+    new = np.unique(points[_rows[points] < 0])
+    if len(new):
+        with np.errstate(over="ignore"):
+            words = mix((new.astype(np.uint64)[:, None] * np.uint64(WIDTH // 64) + np.arange(WIDTH // 64, dtype=np.uint64)) * SPREAD + np.uint64(SEED))
+        bits = np.unpackbits(words.view(np.uint8), axis=1)
+        _rows[new] = len(_letters) + np.arange(len(new))
+        _letters = np.concatenate([_letters, bits.astype(np.int8) * 2 - 1])
+    return _letters[_rows[points]]
+
+
+def vectors(trigrams: np.ndarray) -> np.ndarray:
+    """(len, WIDTH) bound vectors of trigrams."""
+    a, b, c = (letter_vectors(trigrams >> shift & 0x1FFFFF) for shift in (42, 21, 0))
+    return np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c
 
 
 def trigrams(texts: list[str]) -> list[np.ndarray]:
-    """Trigram numbers of each text; runs of other characters are one boundary."""
+    """Trigrams of each text, three code points in a number; runs of other characters are one boundary."""
     cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    every, cut = symbols()[cp].astype(np.int32), np.cumsum([0, *map(len, texts)])
+    every, cut = symbols()[cp], np.cumsum([0, *map(len, texts)])
     out = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         s = every[a:b]
         if not s.any():
-            out.append(np.zeros(0, np.int32))
+            out.append(np.zeros(0, np.int64))
             continue
         s = np.r_[0, s, 0]
-        s = s[np.r_[True, (s[1:] > 0) | (s[:-1] > 0)]].astype(np.int32)
-        out.append(s[:-2] << 12 | s[1:-1] << 6 | s[2:])
+        s = s[np.r_[True, (s[1:] > 0) | (s[:-1] > 0)]].astype(np.int64)
+        out.append(s[:-2] << 42 | s[1:-1] << 21 | s[2:])
     return out
 
 
@@ -79,13 +91,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.R
             yield part, [t or "" for t in part["text"].to_pylist()]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the vectors of all texts of each language, one row each."""
     total: dict[str, np.ndarray] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for lang, n in total.items():
-            used = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(n[used])], names=["lang", "trigram", "n"])
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([*total], pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["lang", "sum"])
         total.clear()
 
     for part, texts in _pieces(batches, 256):
@@ -93,27 +105,39 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, t in zip(part["lang"].to_pylist(), trigrams(texts), strict=True):
             by.setdefault(lang, []).append(t)
         for lang, found in by.items():
-            if lang not in total:
-                total[lang] = np.zeros(SYMBOLS**3, np.int64)
-            total[lang] += np.bincount(np.concatenate(found), minlength=SYMBOLS**3)
-        if len(total) > 64:
+            own = total.setdefault(lang, np.zeros(WIDTH, np.int64))
+            used, n = np.unique(np.concatenate(found), return_counts=True)
+            for at in range(0, len(used), 8192):
+                # whole numbers far below 2 ** 53
+                own += (n[at : at + 8192].astype(np.float64) @ vectors(used[at : at + 8192]).astype(np.float64)).astype(np.int64)
+        if len(total) > 256:
             yield from flush()
     yield from flush()
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by language -> one row for each."""
+    at, total = None, np.zeros(WIDTH, np.int64)
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.string()), pa.array([total.tolist()], pa.list_(pa.int64()))], names=["lang", "sum"])
+    for b in batches:
+        for lang, raw in zip(b["lang"].to_pylist(), b["sum"].to_pylist(), strict=True):
+            if lang != at:
+                if at is not None:
+                    yield out()
+                at, total = lang, np.zeros(WIDTH, np.int64)
+            total = total + np.frombuffer(raw, np.int64)
+    if at is not None:
+        yield out()
+
+
 def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order and their unit vectors, learned from all rows of ``docs`` with a language."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    counts = rows.mapInArrow(_counted, "lang string, trigram int, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique())
-    out = np.zeros((len(langs), WIDTH))
-    for k, lang in enumerate(langs):
-        own = counts[counts["lang"] == lang]
-        t, n = own["trigram"].to_numpy(), own["n"].to_numpy(np.float64)
-        for at in range(0, len(t), 8192):
-            out[k] += n[at : at + 8192] @ vectors(t[at : at + 8192]).astype(np.float64)
+    sums = rows.mapInArrow(_bundled, "lang string, sum binary").repartition("lang").sortWithinPartitions("lang").mapInArrow(_added, "lang string, sum array<long>")
+    found = sorted((r["lang"], r["sum"]) for r in sums.collect())  # one row a language
+    out = np.array([x for _, x in found], np.float64).reshape(-1, WIDTH)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return langs, out / np.where(norm > 0, norm, 1)
+    return [lang for lang, _ in found], out / np.where(norm > 0, norm, 1)
 
 
 def bundle(found: list[np.ndarray]) -> np.ndarray:

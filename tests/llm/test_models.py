@@ -1,5 +1,7 @@
 """Classifiers, language, chat and the pipeline: held-out accuracy, brute-force versions and odd inputs."""
 
+import collections
+import itertools
 import random
 import zlib
 
@@ -71,9 +73,10 @@ def test_toxicity(spark):
 
 
 def test_network_gradient():
-    """The first step's change of the loss follows the numeric gradient of an embedding."""
+    """All gradients, embeddings included, against differences of the loss; pooled values against plain sums."""
     r = np.random.default_rng(0)
     texts = [r.integers(0, 50, (8, 1 + len(op5_toxicity.STEMS))) for _ in range(6)]
+    y, weight = np.array([0, 1, 1, 0, 1, 0.0]), np.array([1, 2, 1, 1, 0.5, 1.0])
     net = op5_toxicity.Network()
     ids, start = op5_toxicity._joined(texts)
     z, h, where, x = net.forward(ids, start, keep=True)
@@ -82,8 +85,77 @@ def test_network_gradient():
         for d in range(6):
             for f in range(op5_toxicity.FILTERS):
                 at = where[n][d, f]
-                y = sum(x[at + j] @ net.p[f"k{w}"][j][:, f] for j in range(w)) + net.p[f"b{w}"][f]
-                assert max(y, 0) == pytest.approx(h[d, n * op5_toxicity.FILTERS + f])
+                total = sum(x[at + j] @ net.p[f"k{w}"][j][:, f] for j in range(w)) + net.p[f"b{w}"][f]
+                assert max(total, 0) == pytest.approx(h[d, n * op5_toxicity.FILTERS + f])
+
+    def loss():
+        z = net.forward(ids, start)
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5e-4 * (net.p["out"] ** 2).sum())
+
+    def slope(a, at, step=1e-6):
+        kept = a[at]
+        a[at] = kept + step
+        up = loss()
+        a[at] = kept - step
+        down = loss()
+        a[at] = kept
+        return (up - down) / (2 * step)
+
+    g, used, ge = net.gradient(ids, weight * (1 / (1 + np.exp(-z)) - y), h, where, x)
+    for name, grad in g.items():
+        for at in list(np.ndindex(grad.shape))[:40]:
+            assert grad[at] == pytest.approx(slope(net.p[name], at), abs=1e-5), (name, at)
+    assert np.abs(ge).max() > 1e-3
+    for row, grad in zip(used, ge, strict=True):
+        for e in range(op5_toxicity.WIDTH):
+            if row != op5_toxicity.PAD:
+                assert grad[e] == pytest.approx(slope(net.p["e"], (row, e)), abs=1e-5)
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    """Scores of the query from the fitted network's parameters, word by word and filter by filter."""
+    import re
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    net = op5_toxicity.fit(docs, labels)
+    from gristmill.llm.op5_toxicity import PAD, word_ids
+    from gristmill.llm.textops import buffers
+
+    import pyarrow as pa
+
+    number = lambda w: word_ids(*buffers(pa.array([w])))[0][0]
+    got = {r.doc_id: r.score for r in op5_toxicity.toxicity(docs, labels).collect()}
+    assert len(got) == docs.count()
+    for r in docs.limit(40).collect():
+        found = [number(w) for w in re.findall(r"(?:[A-Za-z]|[^\x00-\x7F])+", r.text or "")]
+        guess = sum((net.lang[ids[0]] for ids in found), np.zeros(net.lang.shape[1]))
+        x = [sum(net.p["e"][k] for k in ids) for ids in found] + [np.zeros(op5_toxicity.WIDTH)] * 6
+        assert not net.p["e"][PAD].any()
+        z = float(net.p["bias"][0])
+        for n, w in enumerate(op5_toxicity.WIDTHS):
+            for f in range(op5_toxicity.FILTERS):
+                best = max(sum(x[i + j] @ net.p[f"k{w}"][j][:, f] for j in range(w)) for i in range(len(found) + 3)) + net.p[f"b{w}"][f]
+                z += max(0, best) * net.p["out"][n * op5_toxicity.FILTERS + f]
+        if net.curve:
+            slope, offset = net.curve.get(int(np.argmax(guess)) if len(guess) else 0, net.curve[-1])
+            z = slope * z + offset
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), abs=2e-3)
+
+
+def test_quality_equals_a_plain_version(documents, labels):
+    """Scores of the query from the tables of a model fitted on the same rows, bin by bin."""
+    table = op4_quality.feature_table(documents).collect()
+    x = {r.id: np.frombuffer(r.x, np.float32).astype(float) for r in table}
+    y = {r.doc_id: r.quality for r in labels.collect() if remainder(r.doc_id, 5) and r.doc_id in x}
+    ids = sorted(y)
+    model = op4_quality.Additive().fit(np.array([x[i] for i in ids]), np.array([y[i] for i in ids], float))
+    assert len(model.pairs) == model.n_pairs
+    place = lambda v, edges: sum(v >= e for e in edges)
+    for r in op4_quality.quality(documents, labels).collect()[:300]:
+        f = model.base + sum(model.tables[j][place(v, model.edges[j])] for j, v in enumerate(x[r.doc_id]))
+        for (a, b), t in zip(model.pairs, model.tables2, strict=True):
+            f += t[place(x[r.doc_id][a], model.edges2[a]) * model.coarse + place(x[r.doc_id][b], model.edges2[b])]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-f)), abs=1e-9)
 
 
 def test_fitting_sample_size(spark, monkeypatch):
@@ -117,11 +189,54 @@ def test_language(documents):
     assert np.mean(held) > 0.97
 
 
-def test_bundles_are_sums_of_bound_vectors():
-    letters = np.random.default_rng(op7_language.SEED).choice(np.array([-1, 1], np.int8), (op7_language.SYMBOLS, op7_language.WIDTH)).astype(int)
-    symbols = [0, *(ord(c) - 96 for c in "cat"), 0, *(ord(c) - 96 for c in "dog"), 0]
-    want = sum(np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False))
-    assert (op7_language.bundle(op7_language.trigrams(["Cat,  dog!"]))[0] == want).all()
+def plain_trigrams(text):
+    """Trigrams of lower-case letters; what lies between words is one blank."""
+    import regex
+
+    s = "".join(f" {w}" for w in regex.findall(r"\p{L}+", text or ""))
+    s = [c.lower()[0] if c != " " else " " for c in s] + [" "]
+    return [tuple(s[i : i + 3]) for i in range(len(s) - 2)] if len(s) > 1 else []
+
+
+def plain_bundle(found):
+    letter = lambda c: op7_language.letter_vectors(np.array([0 if c == " " else ord(c)]))[0].astype(int)
+    out = np.zeros(op7_language.WIDTH, int)
+    for (a, b, c), n in collections.Counter(found).items():
+        out += n * np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c)
+    return out
+
+
+def test_language_equals_a_plain_version(spark):
+    """Alphabets of one family and texts without spaces; every prediction and score from plain loops over all rows."""
+    r = random.Random(6)
+    letters = {"ru": "оеаинтсрвл", "uk": "оанівирте", "el": "αοιετσνηυρ", "zh": "的一是不了人我在有他这中大来上", "ja": "のにはをたがでてとしれさある日人", "en": "etaoinshrd", "de": "enisratdhu"}
+    word = lambda a: "".join(r.choice(a) for _ in range(r.randint(2, 7)))
+    vocabulary = {k: [word(a) for _ in range(60)] for k, a in letters.items()}
+    rows = []
+    for i in range(420):
+        lang = r.choice([*letters])
+        between = "" if lang in ("zh", "ja") else " "
+        rows.append((i, between.join(r.choice(vocabulary[lang]) for _ in range(r.randint(3, 30))) + r.choice(["", "!", " 12"]), lang))
+    rows += [(1000, None, "ru"), (1001, "12 34", "ru"), (1002, "", None), (1003, rows[0][1].upper(), None)]
+    held = lambda i: remainder(i, 4) == 2
+    proto = {}
+    for i, t, lang in rows:
+        if lang and not held(i):
+            proto[lang] = proto.get(lang, 0) + plain_bundle(plain_trigrams(t))
+    got = {x.doc_id: x for x in op7_language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    right = []
+    for i, t, lang in rows:
+        v = plain_bundle(plain_trigrams(t))
+        assert got[i].held_out == held(i)
+        if not v.any():
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        cos = {k: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for k, p in sorted(proto.items())}
+        best = max(cos, key=cos.get)
+        assert got[i].score == pytest.approx(max(0, cos[best]), abs=1e-4) and cos[got[i].lang_pred] == pytest.approx(cos[best], abs=1e-4)
+        if held(i) and lang:
+            right.append(got[i].lang_pred == lang)
+    assert len(right) > 60 and np.mean(right) > 0.95
 
 
 def test_odd_rows(spark, odd, labels):
@@ -162,7 +277,7 @@ def test_markers_split_a_row(spark):
 
 def test_blocks_decode_as_one_sequence():
     r = random.Random(2)
-    model = op10_chat.Model({(-1, 1, 2): 30, (-1, 2, 1): 25, (-1, 2, 2): 5, (-2, 0, 1): 9, (0, 1, 3): 9, (0, 2, 7): 9})
+    model = op10_chat.Model({(op10_chat.MOVE, 1, 2): 30, (op10_chat.MOVE, 2, 1): 25, (op10_chat.MOVE, 2, 2): 5, (op10_chat.BEGIN, 0, 1): 9, (0, 1, 3): 9, (0, 2, 7): 9})
     lines = [x for _ in range(60) for x in op10_chat.observed("x" * r.choice([1, 5, 100, 300]) + r.choice(["?", ".", ""]) + ("\nUser: a" if r.random() < 0.1 else ""), 3)]
     whole = model.viterbi(lines, None, np.zeros(3))
     cut = [0, 17, 40, len(lines)]
@@ -180,15 +295,79 @@ def test_blocks_decode_as_one_sequence():
     assert got == whole
 
 
+def test_viterbi_finds_the_best_of_all_paths():
+    r = random.Random(9)
+    model = op10_chat.Model({(op10_chat.MOVE, 1, 2): 30, (op10_chat.MOVE, 2, 1): 25, (op10_chat.BEGIN, 0, 1): 9, (0, 1, 3): 9, (0, 2, 7): 9, (op10_chat.TOLD, 1, 1): 5})
+    for _ in range(30):
+        lines = [x for k in range(3) for x in op10_chat.observed("x" * r.choice([1, 5, 100]) + r.choice(["?", ".", "\n- a", "\nUser: a"]), k)][:7]
+
+        def score(path):
+            total, before = 0.0, 0
+            for k, (line, state) in enumerate(zip(lines, path, strict=True)):
+                move, emit = model.step(line, k == 0)
+                total, before = total + move[before, state] + emit[state], state
+            return total
+
+        best = max(score(p) for p in itertools.product(range(3), repeat=len(lines)))
+        assert score(model.viterbi(lines, None, np.zeros(3))) == pytest.approx(best)
+
+
+def plain_chat(rows):
+    """{(conv, turn, text): (role, rendered)}: counts from training rows, then every conversation decoded as one sequence."""
+    by = {}
+    for conv, turn, role, text in rows:
+        by.setdefault(conv, []).append((turn if turn is not None else -(2**62), text or "", role))
+    counts = collections.Counter()
+    for conv, own in by.items():
+        own.sort(key=lambda x: x[:2])
+        if conv is None or remainder(conv, 5) == 0:
+            continue
+        before = None
+        for k, (_, text, role) in enumerate(x for x in own if x[2] is not None):
+            lines = op10_chat.observed(text, k)
+            state = op10_chat.ROLES.index(role) if role in op10_chat.ROLES else None
+            if state is not None:
+                if before is not None:
+                    counts[op10_chat.MOVE, before, state] += 1
+                elif k == 0:
+                    counts[op10_chat.BEGIN, 0, state] += 1
+                if lines[0][0] >= 0:
+                    counts[op10_chat.TOLD, state, lines[0][0]] += 1
+                if len(lines) > 1 and all(x[0] < 0 for x in lines[1:]):
+                    counts[op10_chat.KEPT, 0, 0] += len(lines) - 1
+                for f, v in enumerate(lines[0][2]):
+                    counts[f, state, v] += 1
+            before = state
+    model, out = op10_chat.Model(counts), {}
+    for conv, own in by.items():
+        parts = [op10_chat.observed(text, k) for k, (_, text, _) in enumerate(own)]
+        path, at = model.viterbi([x for p in parts for x in p], None, np.zeros(3)), 0
+        for (turn, text, _), p in zip(own, parts, strict=True):
+            out[conv, turn, text] = (op10_chat.ROLES[path[at]], op10_chat.render(p, path[at : at + len(p)])[0])
+            at += len(p)
+    return out
+
+
+def test_chat_equals_a_plain_version(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    want = plain_chat(rows)
+    got = op10_chat.parse_transcripts(df).join(df.select("conv_id", "turn", "text").distinct(), ["conv_id", "turn"]).collect()
+    assert got and all(want[r.conv_id, r.turn, r.text] == (r.role_pred, r.rendered) for r in got)
+
+
 def test_long_conversation_and_odd_rows(spark):
-    rows = [(7, i, "user" if i % 2 else "assistant", f"line {i} " * (1 if i % 2 else 20)) for i in range(700)]
-    rows += [(8, None, None, None), (8, None, None, ""), (8, 3, "narrator", "x"), (None, 1, "user", "y"), (8, 3, "narrator", "x")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumnRenamed("x", "x")
+    r = random.Random(3)
+    rows = [(7, i, None, r.choice(["ok", "why?", "line " * 20, "- a\n- b"])) for i in range(700)]
+    rows += [(9, i, r.choice(["user", "assistant"]), f"line {i} " * r.choice([1, 20])) for i in range(40)]
+    rows += [(8, None, None, None), (8, None, None, ""), (8, 3, "narrator", "x"), (None, 1, "user", "y"), (8, 3, "narrator", "x"), (8, 5, None, "long " * 200_000)]
+    df = spark.createDataFrame([(*x, "c", 1) for x in rows], "conv_id long, turn long, role string, text string, conv string, block long")
     got = op10_chat.parse_transcripts(df).collect()
     assert len(got) == len(rows)
-    ours = sorted((r.turn, r.role_pred) for r in got if r.conv_id == 7)
-    # the same as decoding all lines at once, with the parameters of a table in which the conversation is one block
-    assert [t for t, _ in ours] == list(range(700))
+    want = plain_chat(rows)
+    ours = {r.turn: (r.role_pred, r.rendered) for r in got if r.conv_id == 7}
+    # three blocks, decoded as all lines at once
+    assert ours == {t: v for (c, t, _), v in want.items() if c == 7}
     assert op10_chat.parse_transcripts(df.limit(0)).collect() == []
 
 
