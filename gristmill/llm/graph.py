@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, tidy
 
 TASK_EDGES = 1_000_000
 
@@ -66,6 +66,7 @@ def _contracted(most: int):
     return run
 
 
+@tidy
 def components(edges: DataFrame, a: str = "a", b: str = "b", task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, component) for every endpoint of an edge between two nodes; component is the smallest node that can be reached.
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import materialize
+from .store import materialize, tidy
 from .textops import buffers, chunks, shingles, word_hashes
 
 BLOCK = 256
@@ -140,6 +140,7 @@ def _decided(num: int, den: int):
     return run
 
 
+@tidy
 def verified(own: DataFrame, pairs: DataFrame, num: int, den: int, k: int = 5, fold: bool = True) -> DataFrame:
     """Those of the ``pairs`` (a, b) that are linked, each decided on the two whole sets.
 
@@ -158,6 +159,7 @@ def verified(own: DataFrame, pairs: DataFrame, num: int, den: int, k: int = 5, f
     return materialize(rows.mapInArrow(_decided(num, den), "a long, b long"), "link-verified")
 
 
+@tidy
 def confirmed(own: DataFrame, pairs: DataFrame, num: int, den: int, k: int = 5, fold: bool = True) -> DataFrame:
     """Links among the candidate ``pairs`` (a, b), confirmed on the full sets: edges (a, b) that connect what is linked.
 

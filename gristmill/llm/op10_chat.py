@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold
-from .store import materialize
+from .store import materialize, tidy
 
 ROLES = ("system", "user", "assistant")
 BLOCK, FOLDS = 256, 5
@@ -246,6 +246,7 @@ def _decoded(model: Model):
     return run
 
 
+@tidy
 def parse_transcripts(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = "role", folds: int = FOLDS) -> DataFrame:
     """One row per row: conv_id, turn, role (as given), role_pred, roles, n_lines, n_turns, rendered, held_out."""
     role = F.col(role_col).cast("string") if role_col else F.lit(None).cast("string")

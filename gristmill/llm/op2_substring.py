@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, tidy
 from .textops import buffers, chunks, doubled, mix, windows, word_hashes
 
 BLOCK_BYTES = 4 << 20
@@ -379,6 +379,7 @@ def _cleaned(size: int):
     return run
 
 
+@tidy
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20, base: int | None = None, word_bits: int = 64) -> DataFrame:
     """id, n_words, n_removed, kept_text, kept_sha256; one row per row of ``docs``.
 

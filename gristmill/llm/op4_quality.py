@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import MOST_LABELLED, fold, sampled
-from .store import materialize
+from .store import materialize, tidy
 from .textops import buffers, chunks, word_hashes, spans
 
 FOLDS, CUT, BINS = 5, 0.3, 32
@@ -192,6 +192,7 @@ def fit(table: DataFrame, labels: DataFrame, label_col: str = "quality", folds:
     return Additive().fit(x, rows["y"].to_numpy(np.float64))
 
 
+@tidy
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = FOLDS, cut: float = CUT, most: int = MOST_LABELLED) -> DataFrame:
     """id, held_out, score, predicted; one row per row of ``docs``."""
     table = feature_table(docs, id_col, text_col)
@@ -207,6 +208,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
+@tidy
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = FOLDS, cut: float = CUT, most: int = MOST_LABELLED) -> DataFrame:
     """The rows of ``docs`` that score at least ``cut``, with all their columns; rows are scored where they are read."""
     # features of all rows, joined with the labels, are far smaller than the labelled rows' texts

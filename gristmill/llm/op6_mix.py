@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, tidy
 from .textops import buffers, chunks, spans
 
 CELL_BITS, LEVELS, CORRECTIONS = 12, 3, 4
@@ -167,6 +167,7 @@ def tilted(sized: DataFrame, plan: DataFrame, cap: float) -> tuple[DataFrame, Du
     return state, dual, theta
 
 
+@tidy
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, partial: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, rate, copies, part, taken = copies * size + part (words of a partial copy)."""
     sized = materialize(sizes(docs, id_col, text_col, source_col), "mix-sizes")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .linkage import confirmed, shingle_sets, verified
-from .store import materialize
+from .store import materialize, tidy
 from .textops import mix, permutations, signatures
 
 TREES, DEPTH, LANES, SEED = 16, 4, 64, 8
@@ -310,6 +310,7 @@ def _between(least: float, fine: float, num: int, den: int, first: int | None):
     return run
 
 
+@tidy
 def met_pairs(own: DataFrame, nodes: DataFrame, met: DataFrame, label: DataFrame, num: int, den: int, k: int, fold: bool, first: int | None) -> DataFrame | None:
     """Pairs (a, b) of different components ``label`` (node, component) that meet and may be linked; None if there are none.
 
@@ -344,6 +345,7 @@ def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["id"], b["sig"], pa.array(low, pa.binary())], names=["id", "sig", "low"])
 
 
+@tidy
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, den: int = 100, k: int = 5, fold: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept. Linked: den * intersection >= num * union."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -19,16 +19,16 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh_path, materialize
+from .store import fresh_path, materialize, tidy
 
 STATE = "spark.sql.streaming.stateStore"
 #: Files are not allocated ahead of use: with many state partitions that alone takes gigabytes.
 SETTINGS = {f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{STATE}.rocksdb.allowFAllocate": "false"}
 SALT_ROWS = 512
-TRIGGER_BYTES = 64 << 30
+BATCHES = 3
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -55,28 +55,23 @@ def _digests(digest: Callable[[bytes], str]):
     return run
 
 
-def keyed_state(feed_path: str, feed_schema, spark: SparkSession, trigger_bytes: int = TRIGGER_BYTES) -> DataFrame:
-    """Run the stream over the feed to its end; one row per digest: keep_id, locator, group_size."""
+def keyed_state(feed_path: str, feed: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """Run the stream over the feed to its end, in about ``batches`` micro-batches; one row per digest: keep_id, locator, group_size."""
+    spark = feed.sparkSession
     out, log = fresh_path(spark, "dedup-state"), fresh_path(spark, "dedup-log")
-    before = {k: spark.conf.get(k, None) for k in SETTINGS}
-    for k, v in SETTINGS.items():
-        spark.conf.set(k, v)
-    try:
-        stream = (
-            spark.readStream.schema(feed_schema).option("maxBytesPerTrigger", trigger_bytes).parquet(feed_path)
-            .groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
-        )
-        query = (
-            stream.writeStream.outputMode("update").option("checkpointLocation", log).trigger(availableNow=True)
-            .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+    files = max(1, -(-len(feed.inputFiles()) // batches))
+    own = spark.newSession()  # the settings hold for this stream alone
+    for k, v in (SETTINGS | {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",)}).items():
+        own.conf.set(k, v)
+    stream = (
+        own.readStream.schema(feed.schema).option("maxFilesPerTrigger", files).parquet(feed_path)
+        .groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
+    )
+    query = (
+        stream.writeStream.outputMode("update").option("checkpointLocation", log).trigger(availableNow=True)
+        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
+    )
+    query.awaitTermination()
     rows = spark.read.schema(stream.schema).parquet(out)
     # an entry only ever grows, so its last state is its largest
     return rows.groupBy("digest").agg(F.max("keeper").alias("keeper"), F.max("group_size").alias("group_size")).select("digest", F.col("keeper.id").alias("keep_id"), F.col("keeper.locator").alias("locator"), "group_size")
@@ -103,7 +98,8 @@ def _differing(digest: Callable[[bytes], str]):
     return run
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], str] = sha256_hex, trigger_bytes: int = TRIGGER_BYTES) -> DataFrame:
+@tidy
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], str] = sha256_hex, batches: int = BATCHES) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256, locator (where the text that stays was read)."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -112,7 +108,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = own.select("id", F.input_file_name().alias("locator"), "text").mapInArrow(_digests(digest), f"id {kind}, locator string, digest string, sha string, size long")
     made.write.parquet(path)
     feed = spark.read.schema(made.schema).parquet(path)
-    state = materialize(keyed_state(path, made.schema, spark, trigger_bytes), "dedup-keys")
+    state = materialize(keyed_state(path, feed, batches), "dedup-keys")
     verdict = feed.join(state.withColumnRenamed("locator", "keep_locator"), "digest")
 
     salts = F.greatest(F.lit(1), F.ceil(F.col("group_size") / SALT_ROWS)).cast("int")
@@ -129,18 +125,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return result.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("keep_locator").alias("locator"))
 
 
+@tidy
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of repeated rows, one."""
     verdict = materialize(exact_dedup(docs, id_col, text_col), "dedup-verdict")
     stay = verdict.filter("kept").groupBy(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha")).agg(F.count(F.lit(1)).alias("n"))
     stay = materialize(stay, "dedup-stay")
     several = stay.groupBy("kept_id").agg(F.sum("n").alias("n")).filter("n > 1")
-    same = F.col(id_col).eqNullSafe(F.col("kept_id"))
+    same = docs[id_col].eqNullSafe(stay["kept_id"])
     if several.isEmpty():
         return docs.join(stay, same, "left_semi")
     # rows that share an id: told apart by their text, of which one row stays
-    sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, UPPER.lower()).cast("binary"), 256)
-    return docs.join(stay, same & (sha == F.col("kept_sha")), "left_semi").dropDuplicates([id_col, text_col]).withColumn("sha", sha).dropDuplicates([id_col, "sha"]).select(docs.columns)
+    name = "sha"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    own = docs.withColumn(name, F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, UPPER.lower()).cast("binary"), 256))
+    rows = own.join(stay, own[id_col].eqNullSafe(stay["kept_id"]) & (own[name] == stay["kept_sha"]), "left_semi")
+    return rows.dropDuplicates([id_col, name]).select(docs.columns)
 
 
 def _regrouped(result: DataFrame, differ: DataFrame) -> DataFrame:

@@ -413,16 +413,24 @@ def test_exact_dedup_compares_bytes(odd):
     assert got == exact_groups(odd)
 
 
-def test_exact_dedup_in_several_batches(spark, documents):
-    """A trigger below a file's size: state that one batch wrote is read and raised by later ones."""
+def test_exact_dedup_in_several_batches(spark, documents, monkeypatch):
+    """State that one micro-batch wrote is read and raised by later ones, and the session's settings stay as they are."""
     from pathlib import Path
 
-    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
-    before = set(shared.glob("dedup-state-*"))
-    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in op9_exact.exact_dedup(documents.repartition(4), trigger_bytes=1).collect()}
+    from gristmill.llm import store
+
+    shared, seen = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")), []
+
+    def looked(df, name):
+        if name == "dedup-keys":
+            seen.append(len({*shared.glob("dedup-state-*/batch=*")}))
+        return store.materialize(df, name)
+
+    monkeypatch.setattr(op9_exact, "materialize", looked)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in op9_exact.exact_dedup(documents.repartition(4), batches=4).collect()}
     assert got == exact_groups(documents)
-    (state,) = set(shared.glob("dedup-state-*")) - before
-    assert len([*state.glob("batch=*")]) >= 3
+    assert seen[0] >= 3
+    assert spark.conf.get(f"{op9_exact.STATE}.rocksdb.allowFAllocate", "unset") == "unset"
 
 
 def test_empty_tables(spark):

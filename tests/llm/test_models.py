@@ -433,6 +433,21 @@ def test_pipeline_stages(spark, documents, labels):
     assert set(ids(after)) == set(ids(before))
 
 
+def test_intermediate_tables_are_deleted(spark, documents):
+    """When an operator returns, the shared folder holds only what its result reads."""
+    from pathlib import Path
+
+    from gristmill.llm import op2_substring, op6_mix, op8_forest, op9_exact
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    for f in (op2_substring.remove_repeats, op6_mix.mix, op8_forest.near_dedup, op9_exact.exact_dedup):
+        before = set(shared.iterdir())
+        out = f(documents)
+        left = {x.name for x in set(shared.iterdir()) - before}
+        assert left == {p for file in out.inputFiles() for p in file.split("/") if (shared / p).is_dir() and (shared / p) not in before}
+        assert len(left) <= 6 and out.count() == documents.count()
+
+
 def test_exact_stage_keeps_one_of_repeated_rows(spark):
     rows = [(1, "a b", None, "s", 3), (1, "a b", None, "s", 3), (2, "A b", None, "s", 3), (2, "A b", None, "s", 3), (3, "c", None, None, 1), (3, "d", None, None, 1), (None, "e", None, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -440,6 +455,25 @@ def test_exact_stage_keeps_one_of_repeated_rows(spark):
     assert got == sorted([(2, "A b"), (3, "c"), (3, "d"), (None, "e")], key=str)
 
 
+def test_stages_with_clashing_names(spark, labels):
+    """Extra columns with the names that stages use themselves come through unchanged; rows that share an id, nulls and empty texts too."""
+    names = ["copies", "copy", "sha", "sha_", "kept_id", "kept_sha", "mixed_id", "times", "own_id", "document", "id", "n", "text_sha256", "kept", "component_id", "size", "digest", "label"]
+    r = random.Random(12)
+    texts = [" ".join(f"word{r.randrange(400)}" for _ in range(r.randint(20, 200))) for _ in range(30)] + [None, "", "x"]
+    rows = [(i, t, "en", r.choice(["a", "b", None]), 1, *([f"{i}"] * len(names))) for i, t in enumerate(texts)]
+    rows += [rows[0], (5, "another text of a shared id " * 9, "en", "a", 1, *(["s"] * len(names))), (None, "null id " * 12, "en", "a", 1, *(["s"] * len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} string" for x in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF).collect()
+        if name == "pack":
+            continue
+        assert out and out[0].__fields__ == df.columns and {tuple(x) for x in out} <= set(rows), name
+        if name == "exact_dedup":
+            assert len(out) == len(set(rows)) - 1
+        if name == "near_dedup":
+            assert sorted(map(str, out)) == sorted(map(str, df.collect()))
+
+
 def test_stages_on_an_empty_table(spark, documents):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, documents.limit(0), SF).collect() == []
