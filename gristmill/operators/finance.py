@@ -1,10 +1,11 @@
-"""Technical indicators. Windowed ones are window expressions; recurrences run once over each series in order, batch by batch."""
+"""Technical indicators. Windowed ones are window expressions; recurrences are smoothed a whole batch of ordered series at a time."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,82 +26,90 @@ def parse_indicator(text: str) -> tuple[str, list[float]]:
     return name, [float(x) for x in (m[2] or "").split(",") if x.strip()]
 
 
-def half_up(x: float | None, digits: int = 4) -> float | None:
-    import math
+def rounded(x: np.ndarray, digits: int = 4) -> np.ndarray:
+    return np.floor(x * 10.0**digits + 0.5) / 10.0**digits
 
-    return None if x is None else math.floor(x * 10**digits + 0.5) / 10**digits
 
+def smoothed(x: np.ndarray, series: np.ndarray, n: int, alpha: float, carry: tuple[int, float]) -> tuple[np.ndarray, tuple[int, float]]:
+    """y = alpha * x + (1 - alpha) * y before, in each series, begun by the mean of its first ``n`` values; NaN before that.
 
-class Ema:
-    """Seeded by the mean of the first values."""
-
-    def __init__(self, n: int):
-        self.n, self.k, self.seen, self.sum, self.value = n, 2 / (n + 1), 0, 0.0, None
-
-    def __call__(self, x: float) -> float | None:
-        self.seen += 1
-        if self.value is None:
-            self.sum += x
-            if self.seen < self.n:
-                return None
-            self.value = self.sum / self.n
-        else:
-            self.value = x * self.k + self.value * (1 - self.k)
-        return half_up(self.value)
-
-
-class Wilder:
-    """A sum over the first n values, then smoothed; gives the mean."""
-
-    def __init__(self, n: int):
-        self.n, self.seen, self.value = n, 0, 0.0
-
-    def __call__(self, x: float) -> float | None:
-        self.seen += 1
-        if self.seen <= self.n:
-            self.value += x
-            if self.seen < self.n:
-                return None
-            self.value /= self.n
-        else:
-            self.value = (self.value * (self.n - 1) + x) / self.n
-        return self.value
-
-
-class Rsi:
-    def __init__(self, n: int):
-        self.last, self.up, self.down = None, Wilder(n), Wilder(n)
-
-    def __call__(self, x: float) -> float | None:
-        last, self.last = self.last, x
-        if last is None:
-            return None
-        up, down = self.up(max(x - last, 0.0)), self.down(max(last - x, 0.0))
-        if up is None:
-            return None
-        return 100.0 if down == 0 else half_up(100 - 100 / (1 + up / down), 2)
-
-
-class Macd:
-    def __init__(self, fast: int, slow: int, signal: int):
-        self.fast, self.slow, self.signal = Ema(fast), Ema(slow), Ema(signal)
-
-    def __call__(self, x: float) -> tuple:
-        a, b = self.fast(x), self.slow(x)
-        if a is None or b is None:
-            return None, None, None
-        s = self.signal(a - b)
-        return half_up(a - b), s, None if s is None else half_up(a - b - s)
-
-
-class Atr:
-    def __init__(self, n: int):
-        self.close, self.mean = None, Wilder(n)
-
-    def __call__(self, high: float, low: float, close: float) -> float | None:
-        last, self.close = self.close, close
-        true = high - low if last is None else max(high - low, abs(high - last), abs(low - last))
-        return half_up(self.mean(true))
+    ``series`` numbers the rows' series in order; ``carry`` says of series 0 how
+    many values came in batches before, and their sum (or, from the nth on, the
+    last y). The carry of the last series is returned.
+    """
+    if not len(x):
+        return x, carry
+    grouped = pd.Series(x).groupby(series, sort=False)
+    before, value = carry
+    goes_on = series == 0
+    place = grouped.cumcount().to_numpy() + np.where(goes_on, before, 0)
+    total = grouped.cumsum().to_numpy() + np.where(goes_on & (before < n), value, 0.0)
+    y = np.full(len(x), np.nan)
+    live = place >= n - 1
+    fed, of = np.where(place == n - 1, total / n, x)[live], series[live]
+    head = [value] if before >= n and series[0] == 0 else []
+    if len(fed):
+        fed = pd.Series(np.r_[head, fed]).groupby(np.r_[[0] * len(head), of].astype(np.int64), sort=False)
+        y[live] = fed.ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(head) :]
+    return y, (int(place[-1]) + 1, float(y[-1] if live[-1] else total[-1]))
+
+
+def shifted(x: np.ndarray, series: np.ndarray, last: float) -> np.ndarray:
+    """The value before in each series, NaN for its first; ``last``: what series 0 ended with in the batch before."""
+    out = np.r_[last, x[:-1]] if len(x) else x
+    out[np.r_[series[:1] != 0, series[1:] != series[:-1]]] = np.nan
+    return out
+
+
+START = (0, 0.0)
+
+
+def ema(price, high, low, series, n, held):
+    y, held["e"] = smoothed(price, series, n, 2 / (n + 1), held.get("e", START))
+    return [rounded(y)]
+
+
+def macd(price, high, low, series, n, held):
+    fast, slow, signal = n
+    one, held["fast"] = smoothed(price, series, fast, 2 / (fast + 1), held.get("fast", START))
+    two, held["slow"] = smoothed(price, series, slow, 2 / (slow + 1), held.get("slow", START))
+    gap = rounded(one) - rounded(two)
+    warm = ~np.isnan(gap)
+    line = np.full(len(gap), np.nan)
+    line[warm], carry = smoothed(gap[warm], series[warm], signal, 2 / (signal + 1), held.get("signal", START) if len(series) and series[0] == 0 else START)
+    # a series that is still warming up has no signal yet
+    held["signal"] = carry if warm.any() and series[warm][-1] == series[-1] else held.get("signal", START) if len(series) and series[-1] == 0 else START
+    line = rounded(line)
+    return [rounded(gap), line, rounded(gap - line)]
+
+
+def rsi(price, high, low, series, n, held):
+    change = price - shifted(price, series, held.get("price", np.nan))
+    moved = ~np.isnan(change)
+    out = np.full(len(price), np.nan)
+    up, down = np.maximum(change[moved], 0), np.maximum(-change[moved], 0)
+    of = series[moved]
+    alone = len(series) > 0 and (not moved.any() or of[-1] != series[-1])  # the last series has one value so far
+    sides = []
+    for k, side in (("up", up), ("down", down)):
+        y, carry = smoothed(side, of, n, 1 / n, held.get(k, START))
+        held[k] = START if alone and series[-1] != 0 else carry
+        sides.append(y)
+    up, down = sides
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out[moved] = np.where(np.isnan(up), np.nan, np.where(down == 0, 100.0, rounded(100 - 100 / (1 + up / down), 2)))
+    if len(price):
+        held["price"] = price[-1]
+    return [out]
+
+
+def atr(price, high, low, series, n, held):
+    before = shifted(price, series, held.get("price", np.nan))
+    reach = np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))
+    y, held["a"] = smoothed(reach, series, n, 1 / n, held.get("a", START))
+    if len(price):
+        held["price"] = price[-1]
+    return [rounded(y)]
 
 
 def indicators(df: DataFrame, specs: Iterable[str], price: str, order_by: str, by: Iterable[str] = (), volume: str | None = None, high: str | None = None, low: str | None = None) -> DataFrame:
@@ -136,39 +145,42 @@ def indicators(df: DataFrame, specs: Iterable[str], price: str, order_by: str, b
 
 
 def _recurrent(df: DataFrame, specs: list[tuple[str, list[int]]], price: str, order_by: str, by: list[str], high: str | None, low: str | None) -> DataFrame:
-    names, builders = [], []
+    names, parts = [], []
     for name, args in specs:
         if name == "macd":
-            fast, slow, signal = [*args, *(12, 26, 9)[len(args) :]]
             names += ["macd", "macd_signal", "macd_hist"]
-            builders.append(("macd", lambda f=fast, s=slow, g=signal: Macd(f, s, g)))
+            parts.append((macd, [*args, *(12, 26, 9)[len(args) :]]))
         else:
             n = args[0] if args else {"ema": 20}.get(name, 14)
             names.append(f"{name}_{n}")
-            builders.append((name, lambda n=n, k={"ema": Ema, "rsi": Rsi, "atr": Atr}[name]: k(n)))
+            parts.append(({"ema": ema, "rsi": rsi, "atr": atr}[name], n))
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = object(), []
+        last, held = None, [{} for _ in parts]
         for b in batches:
-            rows = []
-            keys = list(zip(*(b[c] for c in by), strict=True)) if by else [()] * len(b)
-            prices = pd.to_numeric(b[price], errors="coerce")
-            highs, lows = (pd.to_numeric(b[c], errors="coerce") if c else prices for c in (high, low))
-            for key, x, hi, lo in zip(keys, prices, highs, lows, strict=True):
-                if key != at:
-                    at, state = key, [(kind, make()) for kind, make in builders]
-                row = []
-                for kind, f in state:
-                    if x != x:
-                        row += [None] * (3 if kind == "macd" else 1)
-                    elif kind == "macd":
-                        row += f(x)
-                    else:
-                        row.append(f(hi, lo, x) if kind == "atr" else f(x))
-                rows.append(row)
-            made = pd.DataFrame(rows, columns=names, index=b.index, dtype="float64")
-            yield pd.concat([b, made], axis=1)
+            made = np.full((len(b), len(names)), np.nan)
+            prices = pd.to_numeric(b[price], errors="coerce").to_numpy(np.float64)
+            good = ~np.isnan(prices)
+            if good.any():
+                rows = b[good]
+                highs, lows = (pd.to_numeric(rows[c], errors="coerce").to_numpy(np.float64) if c else prices[good] for c in (high, low))
+                new = np.zeros(len(rows), bool)
+                for c in by:
+                    new[1:] |= ~((rows[c].to_numpy()[1:] == rows[c].to_numpy()[:-1]) | (rows[c].isna().to_numpy()[1:] & rows[c].isna().to_numpy()[:-1]))
+                key = [None if pd.isna(v) else v for v in rows[by].iloc[0]] if by else []
+                # series 0 is the one that the batch before ended with
+                series = np.cumsum(new) + (last is not None and key != last)
+                if last is None or key != last:
+                    held = [{} for _ in parts]
+                series = series if last is not None else series + 1
+                at = 0
+                for (f, n), state in zip(parts, held, strict=True):
+                    for y in f(prices[good], highs, lows, series, n, state):
+                        made[good, at] = y
+                        at += 1
+                last = [None if pd.isna(v) else v for v in rows[by].iloc[-1]] if by else []
+            yield pd.concat([b, pd.DataFrame(made, columns=names, index=b.index)], axis=1)
 
     dealt = df.repartition(*(quoted(c) for c in by)) if by else df.coalesce(1)
     return dealt.sortWithinPartitions(*(quoted(c) for c in by), order_by).mapInPandas(run, schema)

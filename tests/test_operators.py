@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,3 +273,30 @@ def test_text_and_clusters(spark):
     centres = cluster.k_means(pts, ["x", "y"], 2)
     out = cluster.assign(pts, ["x", "y"], centres).collect()
     assert len({x._cluster_id for x in out[:50]}) == 1 and out[0]._cluster_id != out[60]._cluster_id and out[100]._cluster_id is None
+
+
+def test_recurrences_over_any_batches():
+    """Smoothing goes on over batches that end anywhere; against one value at a time."""
+    import random
+
+    def plain(xs, n, alpha):
+        out, y = [], None
+        for i, x in enumerate(xs):
+            y = sum(xs[:n]) / n if i == n - 1 else None if i < n else alpha * x + (1 - alpha) * y
+            out.append(np.nan if y is None else y)
+        return out
+
+    r = random.Random(1)
+    for _ in range(60):
+        every = [[r.random() * 100 for _ in range(r.randint(1, 30))] for _ in range(r.randint(1, 6))]
+        flat = [(k, x) for k, xs in enumerate(every) for x in xs]
+        carry, last, got, at = finance.START, None, [], 0
+        while at < len(flat):
+            part = flat[at : at + r.randint(1, 25)]
+            at += len(part)
+            keys = np.array([k for k, _ in part])
+            series = np.cumsum(np.r_[False, keys[1:] != keys[:-1]]) + (keys[0] != last)
+            y, carry = finance.smoothed(np.array([x for _, x in part]), series, 7, 0.25, carry)
+            got += y.tolist()
+            last = keys[-1]
+        assert np.allclose(got, [y for xs in every for y in plain(xs, 7, 0.25)], equal_nan=True)
