@@ -12,8 +12,6 @@ from ..errors import ArgumentError
 from ..functions import coerce as co
 from ..functions.expression import quoted
 
-DIGITS = 20
-
 
 def parse_keys(keys: str | Iterable[str], default: str = "asc") -> list[tuple[str, str]]:
     """"a,b:desc" -> [("a", "asc"), ("b", "desc")]."""
@@ -28,9 +26,10 @@ def parse_keys(keys: str | Iterable[str], default: str = "asc") -> list[tuple[st
 
 
 def natural(c: Column) -> Column:
-    """A sort key in which runs of digits compare as numbers."""
+    """A sort key in which runs of digits compare as numbers: by their length without zeros in front, then digit by digit."""
     runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), 1)
-    return F.transform(runs, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(F.regexp_replace(x, r"^0+(?=\d)", ""), DIGITS, "0")).otherwise(x))
+    bare = lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")
+    return F.transform(runs, lambda x: F.when(x.rlike(r"^\d+$"), F.concat(F.lpad(F.length(bare(x)).cast("string"), 10, "0"), bare(x))).otherwise(x))
 
 
 def sort_columns(df: DataFrame, keys: str | Iterable[str], nulls: str = "last", ignore_case: bool = False, natural_order: bool = False, nulls_absolute: bool = False, default: str = "asc") -> list[Column]:

@@ -255,18 +255,6 @@ def tail_n(spark, sf):
     return ordering.tail(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 100, "o_orderkey")
 
 
-@register("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 40")
-def sort_natural(spark, sf):
-    df = table(spark, sf, "customer").select("c_custkey", "c_name", F.concat(F.lit("file"), F.col("c_custkey").cast("string")).alias("f"))
-    return ordering.sort(df, "f", natural_order=True).limit(40).select("c_custkey", "c_name")
-
-
-@register("SELECT event_id, v FROM (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS v FROM events) ORDER BY v DESC NULLS FIRST, event_id LIMIT 1500")
-def sort_nulls_turned(spark, sf):
-    df = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("v"))
-    return ordering.sort(df, "v:desc,event_id").limit(1500)
-
-
 @register("SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS place FROM customer")
 def sort_natural_whole(spark, sf):
     df = table(spark, sf, "customer").select("c_custkey", "c_name", F.concat(F.lit("file"), F.col("c_custkey").cast("string")).alias("f"))
@@ -701,8 +689,12 @@ def expression_column(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_more  # noqa: F401
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_more  # noqa: F401
+
     return dict(_sql)

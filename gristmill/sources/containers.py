@@ -546,7 +546,7 @@ def _with(url: str, **params) -> str:
 
 
 def read_http(spark: SparkSession, url: str, data_path: str | None = None, paginate: str | None = None, page_param: str = "page", limit_param: str = "limit", limit: int = 100, cursor_param: str = "cursor", cursor_path: str = "next_cursor", max_pages: int = 100, bearer: str | None = None, basic: str | None = None) -> DataFrame:
-    """JSON rows of an API, page after page: ``paginate`` is page, offset or cursor. ``max_pages`` bounds a walk whose end the server does not show."""
+    """JSON rows of an API, page after page: ``paginate`` is page, offset or cursor. ``max_pages`` bounds a walk whose end the server does not show; beyond it the walk fails rather than be cut."""
     headers, rows, at, seen = auth_headers(bearer, basic), [], None, 0
     while seen < max_pages:
         if paginate == "page":
@@ -566,6 +566,8 @@ def read_http(spark: SparkSession, url: str, data_path: str | None = None, pagin
                 break
         elif not paginate or len(got) < limit:
             break
+    else:
+        raise ArgumentError(f"more than {max_pages} pages")
     if not rows:
         return spark.createDataFrame([], "value string")
     return spark.read.json(spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").rdd.map(lambda r: r[0]))

@@ -67,14 +67,20 @@ def _first_line(spark: SparkSession, path) -> str:
     return row[0].lstrip("﻿") if row else ""
 
 
-def read_csv(spark: SparkSession, path, delimiter: str | None = None, header: bool = True, on_error: str = "keep", infer_types: bool = False, **options) -> DataFrame:
-    """All columns are strings unless ``infer_types``. ``on_error``: keep (what can be read), fail, skip, or log (adds _corrupt_record)."""
+def read_csv(spark: SparkSession, path, delimiter: str | None = None, header: bool = True, on_error: str = "keep", infer_types: bool = False, multi_line: bool | None = None, **options) -> DataFrame:
+    """All columns are strings unless ``infer_types``. ``on_error``: keep (what can be read), fail, skip, or log (adds _corrupt_record).
+
+    Files are split among tasks unless a value may hold a line end (``multi_line``);
+    if that is not told, the lines are searched for one that ends inside quotes.
+    """
     mode = {"keep": "PERMISSIVE", "log": "PERMISSIVE", "fail": "FAILFAST", "skip": "DROPMALFORMED"}.get(on_error)
     if mode is None:
         raise ArgumentError(f"unknown error policy {on_error!r}")
     line = _first_line(spark, path)
     sep = delimiter or delimiter_of(line)
-    reader = spark.read.options(header=header, sep=sep, quote='"', escape='"', multiLine=True, mode=mode, columnNameOfCorruptRecord=CORRUPT, **options)
+    if multi_line is None:
+        multi_line = not spark.read.text(path).filter((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+    reader = spark.read.options(header=header, sep=sep, quote='"', escape='"', multiLine=multi_line, mode=mode, columnNameOfCorruptRecord=CORRUPT, **options)
     df = reader.csv(path)
     names = [re.sub(r"^﻿", "", c).strip() for c in df.columns]
     names = [f"col_{i + 1}" if not n or re.fullmatch(r"_c\d+", n) else n for i, n in enumerate(names)]

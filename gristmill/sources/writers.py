@@ -72,19 +72,25 @@ def write_xml(df: DataFrame, path: str, single: bool = True, root: str = "rows",
     _single(safe, path, run) if single else run(safe.write.mode("overwrite"), path)
 
 
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A table of at most ``limit`` rows; numbers to the right."""
+def _rows(df: DataFrame, limit: int | None):
+    """All rows, a partition at a time, or the first ``limit``."""
+    return df.toLocalIterator(prefetchPartitions=True) if limit is None else df.limit(limit).collect()
+
+
+def markdown(df: DataFrame, limit: int | None = None) -> str:
+    """A table of all rows, or of ``limit``; numbers to the right."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", "<br>")
     right = [co.kind_of(f.dataType) == "num" for f in df.schema.fields]
     lines = ["| " + " | ".join(map(cell, df.columns)) + " |", "| " + " | ".join("---:" if r else "---" for r in right) + " |"]
-    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in df.limit(limit).collect())])
+    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in _rows(df, limit))])
 
 
 BOXES = {"unicode": "┌┬┐├┼┤└┴┘─│", "ascii": "+++++++++-|", "compact": None}
 
 
-def text_table(df: DataFrame, limit: int = 50, style: str = "unicode", width: int = 40) -> str:
-    rows = [["" if v is None else str(v) for v in r] for r in df.limit(limit).collect()]
+def text_table(df: DataFrame, limit: int | None = 50, style: str = "unicode", width: int = 40) -> str:
+    """A table for the terminal: the first ``limit`` rows, or all."""
+    rows = [["" if v is None else str(v) for v in r] for r in _rows(df, limit)]
     rows = [[v if len(v) <= width else v[: width - 1] + "…" for v in r] for r in [list(df.columns), *rows]]
     size = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
     right = [co.kind_of(f.dataType) == "num" for f in df.schema.fields]
@@ -109,12 +115,13 @@ def html_report(df: DataFrame, path: str, title: str = "Report") -> None:
         f.write(f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><style>body{{font-family:sans-serif}}td,th{{padding:.3em .8em;text-align:left}}</style><h1>{html.escape(title)}</h1><p>{rows[0]['rows'] if rows else 0} rows, {len(rows)} columns</p><table><tr>{''.join(f'<th>{n}</th>' for n in names)}</tr>{body}</table>")
 
 
-def write_partitioned(df: DataFrame, root: str, by: Iterable[str], format: str = "parquet", pattern: str | None = None) -> list[str]:
+def write_partitioned(df: DataFrame, root: str, by: Iterable[str], format: str = "parquet", pattern: str | Callable[[dict], str] | None = None, drop: bool = False) -> list[str]:
     """Files by column values in folders col=value, written by all tasks. With a ``pattern`` such as {country}/{year}.csv the driver then renames one file per value to it. Null and empty values are _null_."""
     by = list(by)
     safe = {c: F.regexp_replace(F.when((quoted(c).cast("string") == "") | quoted(c).isNull(), "_null_").otherwise(quoted(c).cast("string")), r'[/\\:*?"<>|\x00-\x1f]', "_") for c in by}
     out = df.withColumns({f"_by_{i}": v for i, v in enumerate(safe.values())})
     marks = [f"_by_{i}" for i in range(len(by))]
+    out = out.drop(*by) if drop else out
     options = {"header": True} if format in ("csv", "tsv") else {}
     kind = {"tsv": "csv", "jsonl": "json"}.get(format, format)
     if not pattern:
@@ -130,8 +137,9 @@ def write_partitioned(df: DataFrame, root: str, by: Iterable[str], format: str =
             from urllib.parse import unquote
 
             values = [unquote(p.split("=", 1)[1]) for p in os.path.relpath(where, folder + "/x").split(os.sep)]
-            target = os.path.join(_local(root), pattern.format(**dict(zip(by, values, strict=True))))
-            os.makedirs(os.path.dirname(target), exist_ok=True)
+            named = dict(zip(by, values, strict=True))
+            target = os.path.join(_local(root), pattern(named) if callable(pattern) else pattern.format(**named))
+            os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
             with open(target, "wb") as f:
                 for k, p in enumerate(sorted(parts)):
                     with open(os.path.join(where, p), "rb") as g:
@@ -143,19 +151,24 @@ def write_partitioned(df: DataFrame, root: str, by: Iterable[str], format: str =
     return sorted(made)
 
 
-def write_split(df: DataFrame, path: str, rows: int = 100_000, order_by: str | None = None, format: str = "csv") -> int:
-    """Files of ``rows`` rows each, named by {n} or _partN; the number of files. Row numbers come from sizes of ordered partitions, so no task sees all rows."""
+def write_split(df: DataFrame, path: str, rows: int = 100_000, order_by: str | None = None, format: str = "csv", single: bool = True) -> int:
+    """Chunks of ``rows`` rows each, in one write; their number. Row numbers come from sizes of ordered partitions, so no task sees all rows.
+
+    Files are named by {n} or _partN, which the driver gives them; without
+    ``single`` they stay in folders _part=N of ``path``, as the tasks wrote them.
+    """
     from ..operators.ordering import sort
 
     ordered = sort(df, order_by) if order_by else df
     numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(df.schema.add("_n", "long")) if df.columns else df
-    chunk = numbered.withColumn("_part", F.floor(F.col("_n") / rows).cast("long"))
-    n = (chunk.agg(F.max("_part")).first()[0] or 0) + 1
+    chunk = numbered.withColumn("_part", F.floor(F.col("_n") / rows).cast("long") + 1).drop("_n")
+    if not single:
+        kind = {"tsv": "csv", "jsonl": "json"}.get(format, format)
+        chunk.write.mode("overwrite").partitionBy("_part").format(kind).options(**({"header": True} if kind == "csv" else {})).save(path)
+        return df.sparkSession.read.format(kind).load(path).agg(F.max("_part")).first()[0] or 0
     base, ext = os.path.splitext(path)
-    for i in range(n):
-        name = path.format(n=i + 1) if "{n" in path else f"{base}_part{i + 1}{ext}"
-        write(chunk.filter(F.col("_part") == i).drop("_n", "_part"), name, format)
-    return n
+    name = lambda v: _local(path).format(n=int(v["_part"])) if "{n" in path else f"{_local(base)}_part{v['_part']}{ext}"
+    return len(write_partitioned(chunk, "", ["_part"], format, name, drop=True))
 
 
 def dead_letters(bad: DataFrame, path: str) -> None:
@@ -190,7 +203,7 @@ def _to_text(make: Callable) -> Callable:
 
 WRITERS: dict[str, Callable] = {
     "csv": write_csv, "tsv": lambda d, p, **o: write_csv(d, p, sep="\t", **o), "psv": lambda d, p, **o: write_csv(d, p, sep="|", **o), "json": write_json, "jsonl": write_jsonl, "parquet": write_parquet, "xml": write_xml,
-    "arrow": _container("write_arrow"), "avro": _container("write_avro"), "xlsx": _container("write_xlsx"), "sqlite": _container("write_sqlite"), "markdown": _to_text(markdown), "table": _to_text(text_table), "html": html_report,
+    "arrow": _container("write_arrow"), "avro": _container("write_avro"), "xlsx": _container("write_xlsx"), "sqlite": _container("write_sqlite"), "markdown": _to_text(markdown), "table": _to_text(lambda d, **o: text_table(d, **{"limit": None, **o})), "html": html_report,
     "orc": lambda d, p, **o: d.write.mode("overwrite").orc(p),
 }
 
