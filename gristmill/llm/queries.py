@@ -20,7 +20,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op1_fingerprint.fingerprint_documents(documents(spark, sf_dir))
+    return op1_fingerprint.fingerprints_with_groups(documents(spark, sf_dir))
 
 
 def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

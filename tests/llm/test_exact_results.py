@@ -174,9 +174,19 @@ def test_links_through_one_base(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in op8_forest.near_dedup(df).collect()} == components(rows, 85, 100)
 
 
-def test_bands_and_jaccard(documents):
-    got = {r.doc_id: r.component for r in op1_fingerprint.near_duplicates(documents).collect()}
-    assert got == {i: c for i, (_, c) in components(pairs(documents), 80, 100).items()}
+@pytest.mark.parametrize("which", ["odd", "documents"])
+def test_bands_and_jaccard(which, request):
+    df = request.getfixturevalue(which)
+    got = {r.doc_id: r.component for r in op1_fingerprint.fingerprints_with_groups(df).collect()}
+    assert got == {i: c for i, (_, c) in components(pairs(df), 80, 100).items()}
+
+
+def test_bands_of_a_shared_template(spark):
+    """Bands that hundreds of documents share: at least nine in ten linked pairs are found, and nothing else is linked."""
+    rows = template_pairs(1200, 60, 9)
+    got = {r.doc_id: r.component for r in op1_fingerprint.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) <= set(range(0, 1200, 2)) and all(c == i // 2 * 2 for i, c in got.items())
+    assert len(got) >= 0.9 * len(rows)
 
 
 @pytest.mark.parametrize("which", ["odd", "documents"])
