@@ -1,4 +1,4 @@
-"""RFM, cohorts, funnels, A/B tests and Pareto classes. Windows without partitions run on aggregated rows only."""
+"""RFM, cohorts, funnels, A/B tests and Pareto classes. Places and running sums over all customers or items come from range sorts."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import ArgumentError
 from ..functions import coerce as co
 from ..functions.expression import quoted
+from .ordering import placed
 
 
 def _kind(df: DataFrame, c: str) -> str:
@@ -43,16 +44,14 @@ def rfm(df: DataFrame, customer: str, date: str, amount: str, as_of: str | None
     ts = co.event_time(quoted(date), _kind(df, date))
     rows = df.select(quoted(customer).cast("string").alias("customer_id"), F.unix_millis(ts).alias("ms"), F.coalesce(co.parse_float(quoted(amount), _kind(df, amount)), F.lit(0.0)).alias("amount"))
     every = rows.filter("customer_id <> ''").groupBy("customer_id").agg(F.max("ms").alias("last"), F.count(F.lit(1)).alias("frequency"), F.sum("amount").alias("total"))
-    ref = F.unix_millis(F.lit(as_of).cast("timestamp")) if as_of else F.max("last").over(Window.partitionBy())
-    days = F.when(F.col("last").isNull(), F.lit(999)).otherwise(F.greatest(F.floor((F.col("ref") - F.col("last")) / 86400000.0), F.lit(0)))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    out = every.withColumn("ref", ref).withColumn("recency_days", days.cast("long")).withColumn("n", n)
-
-    def fifth(c: str) -> Column:
-        share = F.row_number().over(Window.orderBy(c, "customer_id")) / F.col("n")
-        return F.least(F.greatest(F.ceil(share * 5 - 1e-9), F.lit(1)), F.lit(5)).cast("int")
-
-    out = out.withColumn("r_score", 6 - fifth("recency_days")).withColumn("f_score", fifth("frequency")).withColumn("m_score", fifth("total"))
+    whole = every.agg(F.max("last").alias("last"), F.count(F.lit(1)).alias("n")).first()
+    ref = F.unix_millis(F.lit(as_of).cast("timestamp")) if as_of else F.lit(whole["last"]).cast("long")
+    days = F.when(F.col("last").isNull(), F.lit(999)).otherwise(F.greatest(F.floor((ref - F.col("last")) / 86400000.0), F.lit(0)))
+    out = every.withColumn("recency_days", days.cast("long"))
+    for score, c in (("r_score", "recency_days"), ("f_score", "frequency"), ("m_score", "total")):
+        share = F.col(score) / F.lit(float(whole["n"] or 1))
+        fifth = F.least(F.greatest(F.ceil(share * 5 - 1e-9), F.lit(1)), F.lit(5)).cast("int")
+        out = placed(out, [F.col(c), F.col("customer_id")], score).withColumn(score, 6 - fifth if score == "r_score" else fifth)
     segment = F.lit("Promising")
     for name, *ranges in reversed(SEGMENTS):
         holds = F.lit(True)
@@ -178,9 +177,8 @@ def pareto(df: DataFrame, item: str, value: str, a: float = 80.0, b: float = 95.
     """rank, item, value, share_pct, cumulative_value, cumulative_pct, abc_class; largest first, ties by item."""
     v = F.coalesce(co.parse_float(quoted(value), _kind(df, value)), F.lit(0.0))
     sums = df.select(quoted(item).cast("string").alias("item"), v.alias("v")).filter("item <> ''").groupBy("item").agg(F.sum("v").alias("v"))
-    w = Window.orderBy(F.desc("v"), "item")  # one row per item
-    every = Window.partitionBy()
-    out = sums.select("item", "v", F.row_number().over(w).cast("long").alias("rank"), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.sum("v").over(every).alias("total"))
+    total = sums.agg(F.sum("v")).first()[0] or 0.0
+    out = placed(sums, [F.desc("v"), F.col("item")], "rank", {"run": "v"}).withColumn("total", F.lit(float(total)))
     share = lambda c: F.when(F.col("total") > 0, F.col(c) / F.col("total") * 100).otherwise(0.0)
     cls = F.when((share("run") <= a) | (F.col("rank") == 1), "A").when(share("run") <= b, "B").otherwise("C")
     return out.select("rank", "item", co.half_up(F.col("v"), 2).alias("value"), co.half_up(share("v"), 2).alias("share_pct"), co.half_up(F.col("run"), 2).alias("cumulative_value"), co.half_up(share("run"), 1).alias("cumulative_pct"), cls.alias("abc_class")).orderBy("rank")

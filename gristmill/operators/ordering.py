@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -64,6 +64,35 @@ def ranked(df: DataFrame, keys: str | Iterable[str], name: str = "place", **how)
     return df.sparkSession.createDataFrame(rows, StructType([*out.schema.fields, StructField(name, LongType())]))
 
 
+def placed(df: DataFrame, order: Iterable[Column], name: str = "place", sums: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with each row's place in the order, from 1, and running sums (name -> column) up to it.
+
+    A range sort numbers the rows of each partition by themselves; what comes
+    before a partition is one row for each. The sorted rows are kept (persisted)
+    because both must see the same partitions, so no task holds the whole table.
+    """
+    sums = sums or {}
+    rows = df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).persist()
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"), *(F.sum(quoted(c)).alias(f"_s{i}") for i, c in enumerate(sums.values())))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    parts = parts.select("_p", zero("_n").alias("_n"), *(zero(f"_s{i}").alias(f"_s{i}") for i in range(len(sums))))
+    made = rows.withColumns({name: F.row_number().over(Window.partitionBy("_part").orderBy("_at")).cast("long"), **{k: F.sum(quoted(c)).over(within) for k, c in sums.items()}})
+    made = made.join(parts, F.col("_part") == F.col("_p"))
+    added = {name: F.col(name) + F.col("_n"), **{k: F.col(k) + F.col(f"_s{i}") for i, k in enumerate(sums)}}
+    return made.select(*(quoted(c) for c in df.columns), *(v.alias(k) for k, v in added.items()))
+
+
+def order_statistics(df: DataFrame, column: str, places: Iterable[int]) -> dict[int, float]:
+    """The values at the given places (from 0) of the order of a column's values, exactly: equal values are counted first."""
+    places = sorted(set(places))
+    counts = df.filter(quoted(column).isNotNull()).groupBy(quoted(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    run = placed(counts, [F.col("v")], sums={"upto": "n"})
+    row = run.agg(*(F.min(F.when(F.col("upto") > p, F.col("v"))).alias(f"p{i}") for i, p in enumerate(places))).first()
+    return {p: row[f"p{i}"] for i, p in enumerate(places)}
+
+
 def top(df: DataFrame, keys: str | Iterable[str], k: int, smallest: bool = False, tie: str | Iterable[str] = (), **how) -> DataFrame:
     """The k rows that a sort would put first, descending unless told; ``tie`` are further keys, ascending. Plans as a distributed top-k."""
     order = sort_columns(df, keys, default="asc" if smallest else "desc", **how)

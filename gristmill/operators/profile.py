@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import ArgumentError, ValidationError
 from ..functions import coerce as co
 from ..functions.expression import EMAIL, URL, UUID, compile_value, quoted
+from .ordering import order_statistics
 
 #: Patterns and code lists of the semantic types, in order of detection. Fixed values.
 IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)$"
@@ -186,18 +188,23 @@ def data_tests(df: DataFrame, rules: Iterable[str], min_rows: int | None = None,
 
 def quantiles(df: DataFrame, columns: Iterable[str], percents: Iterable[float] = (90, 95, 99), approx: bool = False) -> DataFrame:
     """column, count, min, q1, median, q3, iqr, max and p.. for each percentage; exact ones interpolate between neighbours."""
-    rows = []
-    f = (lambda n, p: F.percentile_approx(n, p, 100_000)) if approx else F.percentile
-    out = []
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75, **{f"p{p:g}".replace(".", "_"): p / 100 for p in percents}}
+    names, out = list(shares), None
     for c in columns:
-        n = co.parse_float(quoted(c), co.kind_of(df.schema[c].dataType))
-        every = [0.25, 0.5, 0.75, *(p / 100 for p in percents)]
-        out.append((c, F.count(n), F.min(n), F.max(n), f(n, F.array(*map(F.lit, every)) if not approx else every)))
-    row = df.agg(*(x.alias(f"{n}{i}") for i, (_, *cols) in enumerate(out) for n, x in zip(("n", "a", "b", "q"), cols, strict=True)))
-    for i, (c, *_) in enumerate(out):
-        q = lambda j, i=i: co.half_up(F.col(f"q{i}")[j], 4)
-        rows.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"a{i}").alias("min"), q(0).alias("q1"), q(1).alias("median"), q(2).alias("q3"), co.half_up(F.col(f"q{i}")[2] - F.col(f"q{i}")[0], 4).alias("iqr"), F.col(f"b{i}").alias("max"), *(q(3 + j).alias(f"p{p:g}".replace(".", "_")) for j, p in enumerate(percents))))
-    return row.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+        rows = df.select(co.parse_float(quoted(c), co.kind_of(df.schema[c].dataType)).alias("v"))
+        ends = rows.agg(F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), *([F.percentile_approx("v", list(shares.values()), 100_000).alias("q")] if approx else [])).first()
+        if approx or not ends["count"]:
+            found = dict(zip(names, (ends["q"] if approx else None) or [None] * len(names), strict=True))
+        else:
+            at = {k: share * (ends["count"] - 1) for k, share in shares.items()}
+            value = order_statistics(rows, "v", [f(x) for x in at.values() for f in (math.floor, math.ceil)])
+            found = {k: value[math.floor(x)] + (value[math.ceil(x)] - value[math.floor(x)]) * (x - math.floor(x)) for k, x in at.items()}
+        number = lambda k, found=found: F.lit(found[k]).cast("double")
+        made = df.sparkSession.range(1).select(F.lit(c).alias("column"), F.lit(ends["count"]).cast("long").alias("count"), F.lit(ends["min"]).cast("double").alias("min"), *(co.half_up(number(k), 4).alias(k) for k in names[:3]), co.half_up(number("q3") - number("q1"), 4).alias("iqr"), F.lit(ends["max"]).cast("double").alias("max"), *(co.half_up(number(k), 4).alias(k) for k in names[3:]))
+        out = made if out is None else out.unionByName(made)
+    if out is None:
+        raise ArgumentError("no columns")
+    return out
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10, low: float | None = None, high: float | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import ArgumentError
 from ..functions import coerce as co
 from ..functions.expression import quoted
+from .ordering import order_statistics
 
 
 def _floats(df: DataFrame, columns: Iterable[str]) -> dict:
@@ -47,7 +48,9 @@ def regression(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def _at(rows: DataFrame, column: str, n: int, places: Iterable[int]) -> list[float]:
     """Exact order statistics at the given places (from 0)."""
-    return list(rows.agg(*(F.expr(f"percentile_disc({(p + 0.5) / n!r}D) within group (order by {column})") for p in places)).first())
+    places = list(places)
+    found = order_statistics(rows, column, places)
+    return [found[p] for p in places]
 
 
 def outliers(df: DataFrame, column: str, method: str = "zscore", threshold: float | None = None, only: bool = False, invert: bool = False, annotate: bool = True) -> DataFrame:
