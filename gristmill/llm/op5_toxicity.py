@@ -22,7 +22,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +37,45 @@ BUCKETS, WIDTH, FILTERS, WIDTHS, STEMS = 1 << 18, 8, 8, (1, 2, 3), (4, 5, 6, 7,
 PAD = BUCKETS  # zeros: between texts, and for stems that a word does not have
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return np.where(h == 0, PAD, (h >> np.uint64(40)).astype(np.int64) % BUCKETS)
+
+
 def word_ids(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     h, first = word_hashes(data, off, fold=True, sep=NO_LETTER, stems=STEMS)
-    ids = np.where(h == 0, PAD, (h >> np.uint64(40)).astype(np.int64) % BUCKETS)
+    ids = _bucket(h)
     return [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
+class Words(Sequence):
+    """The word ids of many texts, held as places in a table of distinct words: four bytes a word instead of eight for each of its ids."""
+
+    def __init__(self, table: np.ndarray | None = None, places: list[np.ndarray] | None = None):
+        self.table = np.zeros((0, 1 + len(STEMS)), np.int32) if table is None else table
+        self.places, self.known = places or [], {}
+
+    def add(self, data: np.ndarray, off: np.ndarray) -> None:
+        h, first = word_hashes(data, off, fold=True, sep=NO_LETTER, stems=STEMS)
+        if len(h):
+            keys, at, of = np.unique(h[:, 0], return_index=True, return_inverse=True)
+            new = [i for i, k in enumerate(keys.tolist()) if k not in self.known]
+            self.known.update(zip(keys[new].tolist(), range(len(self.table), len(self.table) + len(new)), strict=True))
+            self.table = np.concatenate([self.table, _bucket(h[at[new]]).astype(np.int32)])
+            places = np.array([self.known[k] for k in keys.tolist()], np.int32)[of]
+        else:
+            places = np.zeros(0, np.int32)
+        self.places += [places[a:b].copy() for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    def take(self, which: np.ndarray) -> Words:
+        return Words(self.table, [self.places[i] for i in which])
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, i):
+        return [self.table[p] for p in self.places[i]] if isinstance(i, slice) else self.table[self.places[i]]
+
+
 def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' words with pads after each, and where each text begins."""
     gap = np.full((max(WIDTHS), 1 + len(STEMS)), PAD, np.int32)
@@ -198,14 +231,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # the join keeps at most about `most` rows; their texts are smaller than their words' numbers
     rows = own.join(known, "id").groupBy("id", "y").agg(F.min(F.struct("text", "lang")).alias("x")).select("id", "x.lang", "y", "x.text").toPandas().sort_values(["id", "y"])
     data, off = buffers(pa.array(rows.pop("text"), pa.string()))
-    texts = [x.astype(np.int32) for i, j in chunks(off) for x in word_ids(data, off[i : j + 1])]
+    texts = Words()
+    for i, j in chunks(off):
+        texts.add(data, off[i : j + 1])
+    del data, off
     y, langs = rows["y"].to_numpy(np.float64), [x if isinstance(x, str) else None for x in rows["lang"]]
     model = Network()
     aside = np.random.default_rng(2).random(len(y)) < 0.25
     fitted = np.flatnonzero(~aside) if len(set(y[~aside])) == 2 else np.arange(len(y))
     model.learn_languages(texts, langs)
-    model.fit([texts[i] for i in fitted], y[fitted])
-    model.calibrate([texts[i] for i in np.flatnonzero(aside)], y[aside])
+    model.fit(texts.take(fitted), y[fitted])
+    model.calibrate(texts.take(np.flatnonzero(aside)), y[aside])
     return model.packed()
 
 
