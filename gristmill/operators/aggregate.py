@@ -125,10 +125,13 @@ def unique(df: DataFrame, columns: Iterable[str] | None = None, keep: str = "fir
         return df.dropDuplicates(names)
     order = sort_columns(df, order_by)
     # a partial aggregation keeps one row per key and task before the shuffle, however frequent a key is
-    simple = [c for c in ([order_by] if isinstance(order_by, str) else list(order_by)) if ":" not in c and "," not in c]
-    if len(simple) == 1 and co.kind_of(df.schema[simple[0]].dataType) in ("num", "time"):
-        keys = [quoted(c) for c in names]
-        pick = (F.max_by if keep == "last" else F.min_by)(F.struct(*(quoted(c) for c in df.columns)), F.struct(quoted(simple[0]), *(quoted(c) for c in df.columns)))
+    kinds = {n: co.kind_of(df.schema[n].dataType) for n, _ in parse_keys(order_by)}
+    if set(kinds.values()) <= {"num", "time"}:
+        keys, place = [quoted(c) for c in names], []
+        for n, way in parse_keys(order_by):  # as sort has it: nulls last, with a descending key first
+            c = quoted(n)
+            place += [c.isNull(), c] if way == "asc" else [c.isNotNull(), -(F.unix_micros(c.cast("timestamp")) if kinds[n] == "time" else c)]
+        pick = (F.max_by if keep == "last" else F.min_by)(F.struct(*(quoted(c) for c in df.columns)), F.struct(*place, *(quoted(c) for c in df.columns)))
         return df.groupBy(*(k.alias(f"_k{i}") for i, k in enumerate(keys))).agg(pick.alias("_row")).select("_row.*")
     if keep == "last":
         order = sort_columns(df, [f"{n}:{'asc' if w == 'desc' else 'desc'}" for n, w in parse_keys(order_by)])

@@ -181,8 +181,13 @@ def count_lines_approx(spark, sf):
 
 @register("SELECT l_returnflag, l_linestatus, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey, l_linenumber) = 1")
 def unique_lines(spark, sf):
-    df = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", F.struct("l_orderkey", "l_linenumber").alias("place"))
-    return A.unique(df, ["l_returnflag", "l_linestatus"], "first", "place").drop("place")
+    df = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber")
+    return A.unique(df, ["l_returnflag", "l_linestatus"], "first", "l_orderkey,l_linenumber")
+
+
+@register("SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY user_id DESC, event_id) = 1")
+def unique_two_keys(spark, sf):
+    return A.unique(table(spark, sf, "events"), ["event_type"], "first", "user_id:desc,event_id")
 
 
 # -- joins ------------------------------------------------------------------------------------------------------
