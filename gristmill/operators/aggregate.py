@@ -77,10 +77,17 @@ def group_keys(df: DataFrame, by: Iterable[str]) -> list[Column]:
     return [co.blank_to_null(quoted(c), co.kind_of(df.schema[c].dataType)).alias(c) for c in by]
 
 
-def reduce_rows(df: DataFrame, specs: str | Iterable[str] | Mapping[str, str], by: Iterable[str] = (), order_by: str | None = None, exact: bool = True) -> DataFrame:
-    """Aggregates over all rows (one row even for no rows) or by group; arguments are expressions."""
+def reduce_rows(df: DataFrame, specs: str | Iterable[str] | Mapping[str, str], by: Iterable[str] = (), order_by: str | None = None, exact: bool = True, custom: Mapping[str, Column] | None = None) -> DataFrame:
+    """Aggregates over all rows (one row even for no rows) or by group; arguments are expressions.
+
+    ``custom``: aggregates of the caller's own by name, built-in ones or a
+    grouped pandas_udf, beside or instead of ``specs``.
+    """
     order = F.struct(*(quoted(c) for c in order_by.split(","))) if order_by else None
-    made = [aggregate(fn, compile_value(arg, df.schema) if arg else None, order, exact).alias(alias) for alias, fn, arg in parse_specs(specs)]
+    made = [aggregate(fn, compile_value(arg, df.schema) if arg else None, order, exact).alias(alias) for alias, fn, arg in (parse_specs(specs) if specs else [])]
+    made += [c.alias(name) for name, c in (custom or {}).items()]
+    if not made:
+        raise ArgumentError("no aggregates")
     by = [by] if isinstance(by, str) else list(by)
     return df.groupBy(*group_keys(df, by)).agg(*made) if by else df.agg(*made)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +22,18 @@ def kind(df: DataFrame, name: str) -> str:
     return co.kind_of(df.schema[name].dataType)
 
 
-def filter_rows(df: DataFrame, condition: str | Column) -> DataFrame:
-    return df.filter(compile_filter(condition, df) if isinstance(condition, str) else condition)
+def filter_rows(df: DataFrame, condition: str | Column | Callable[[dict], bool]) -> DataFrame:
+    """``condition``: an expression, a Column, or a function of a row, which runs in Python workers batch by batch."""
+    if isinstance(condition, str):
+        return df.filter(compile_filter(condition, df))
+    if isinstance(condition, Column):
+        return df.filter(condition)
+
+    def kept(batches):
+        for b in batches:
+            yield b.filter(pa.array([bool(condition(r)) for r in b.to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(kept, df.schema)
 
 
 def select_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -190,6 +190,17 @@ def unique_two_keys(spark, sf):
     return A.unique(table(spark, sf, "events"), ["event_type"], "first", "user_id:desc,event_id")
 
 
+@register("SELECT o_orderstatus, sum(o_orderkey)::BIGINT AS keys, count(*) AS n, max(o_orderkey) - min(o_orderkey) AS wide FROM orders GROUP BY 1")
+def custom_aggregate(spark, sf):
+    key = F.col("o_orderkey")
+    return A.reduce_rows(table(spark, sf, "orders"), "keys = sum(o_orderkey), n = count()", by="o_orderstatus", custom={"wide": F.max(key) - F.min(key)}).withColumn("keys", F.col("keys").cast("long"))
+
+
+@register("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 1 AND c_nationkey > 5")
+def filter_function(spark, sf):
+    return rows.filter_rows(table(spark, sf, "customer"), lambda r: r["c_custkey"] % 3 == 1 and r["c_nationkey"] > 5).select("c_custkey", "c_name")
+
+
 # -- joins ------------------------------------------------------------------------------------------------------
 
 _FUZZY = """

@@ -178,8 +178,8 @@ def register_format(name: str, reader: Callable, extensions: Iterable[str] = ())
     EXTENSIONS.update({e.lstrip("."): name for e in extensions})
 
 
-def read(spark: SparkSession, path: str | list[str], format: str | None = None, file_col: str | None = None, **options) -> DataFrame:
-    """A file, folder, glob, list of these, or "-" for standard input. ``file_col``: adds the file's name as the first column."""
+def read(spark: SparkSession, path: str | list[str], format: str | None = None, file_col: str | None = None, max_rows: int | None = None, **options) -> DataFrame:
+    """A file, folder, glob, list of these, or "-" for standard input. ``file_col``: adds the file's name as the first column; ``max_rows``: so many rows at most."""
     if path == "-":
         out = os.path.join(tempfile.mkdtemp(), "stdin")
         with open(out, "wb") as f:
@@ -198,7 +198,7 @@ def read(spark: SparkSession, path: str | list[str], format: str | None = None,
     df = READERS[fmt](spark, many, **options)
     if file_col:
         df = df.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias(file_col), *(quoted(c) for c in df.columns))
-    return df
+    return df if max_rows is None else df.limit(max_rows)
 
 
 def expand(pattern: str) -> list[str]:

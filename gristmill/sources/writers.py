@@ -8,7 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -184,6 +184,24 @@ def collect(df: DataFrame, most: int = 10_000) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.limit(most).collect()]
 
 
+def batches(df: DataFrame, size: int = 1000) -> Iterator[list[dict]]:
+    """All rows in lists of ``size``, a partition at a time."""
+    held: list[dict] = []
+    for r in df.toLocalIterator(prefetchPartitions=True):
+        held.append(r.asDict(recursive=True))
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def register_writer(name: str, writer: Callable, extensions: Iterable[str] = ()) -> None:
+    """A format of the caller's own: ``writer(df, path, **options)``."""
+    WRITERS[name] = writer
+    EXTENSIONS.update({e.lstrip("."): name for e in extensions})
+
+
 def _container(name: str) -> Callable:
     def run(df: DataFrame, path: str, **options) -> None:
         from . import containers

@@ -210,3 +210,25 @@ def test_small_things(spark, tmp_path):
         (tmp_path / name / "a.txt").write_text(text)
     (tmp_path / "r" / "b.txt").write_text("new")
     assert {r.relative_path: r.change_type for r in files.diff_folders(spark, str(tmp_path / "l"), str(tmp_path / "r")).collect()} == {"a.txt": "unchanged", "b.txt": "added"}
+
+
+def test_batches_writers_and_row_limits(spark, tmp_path):
+    df = spark.range(25).withColumnRenamed("id", "x")
+    assert [len(b) for b in writers.batches(df, 10)] == [10, 10, 5] and sum(r["x"] for b in writers.batches(df, 7) for r in b) == 300
+    writers.register_writer("lines", lambda d, p, **_: open(p, "w").write("\n".join(str(r.x) for r in d.collect())), ["lines"])
+    try:
+        writers.write(df, str(tmp_path / "a.lines"))
+        assert (tmp_path / "a.lines").read_text().split("\n") == [str(i) for i in range(25)]
+    finally:
+        writers.WRITERS.pop("lines")
+        writers.EXTENSIONS.pop("lines")
+    writers.write(df, str(tmp_path / "b.csv"))
+    assert readers.read(spark, str(tmp_path / "b.csv"), max_rows=4).count() == 4
+    assert writers.markdown(spark.range(1200)).count("\n") == 1201
+
+
+def test_quoted_line_ends_are_found(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,t\n1,"two\nlines"\n2,x\n')
+    (tmp_path / "b.csv").write_text("id,t\n1,one\n2,x\n")
+    assert [tuple(r) for r in readers.read(spark, str(tmp_path / "a.csv")).collect()] == [("1", "two\nlines"), ("2", "x")]
+    assert [tuple(r) for r in readers.read(spark, str(tmp_path / "b.csv")).collect()] == [("1", "one"), ("2", "x")]
