@@ -236,4 +236,4 @@ def _corrections(rows: DataFrame, cap: float, partial: bool) -> DataFrame | None
         if best.isEmpty():
             continue
         changes = best if changes is None else changes.unionByName(best)
-    return changes
+    return changes if changes is None else materialize(changes, "mix-changes")

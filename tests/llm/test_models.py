@@ -444,7 +444,7 @@ def test_intermediate_tables_are_deleted(spark, documents):
         before = set(shared.iterdir())
         out = f(documents)
         left = {x.name for x in set(shared.iterdir()) - before}
-        assert left == {p for file in out.inputFiles() for p in file.split("/") if (shared / p).is_dir() and (shared / p) not in before}
+        assert left == {p for file in out.inputFiles() for p in file.split("/") if p and (shared / p).is_dir() and (shared / p) not in before}
         assert len(left) <= 6 and out.count() == documents.count()
 
 
