@@ -122,15 +122,73 @@ def soundex_similarity(a: Column, b: Column) -> Column:
     return (soundex(a) == soundex(b)).cast("double")
 
 
+PIECE_ROWS = 1000  # of one piece in a task, above which it is split
 SCORES = {"levenshtein": levenshtein, "jaccard": jaccard, "jaro-winkler": jaro_winkler, "soundex": soundex_similarity}
 
 
+def _by_segments(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ``_a`` and ``_b`` whose Levenshtein score reaches the threshold.
+
+    With k edits at most, one of k + 1 pieces of the longer string is whole in
+    the shorter one; of the left-most such piece the edits before it are at most
+    its number, those after it at most the rest, which bounds how far it moved.
+    A piece of many longer strings is dealt among several tasks.
+    """
+    edits = f"int(floor((1 - {threshold!r}D) * {{0}} + 1e-9D))".format
+
+    def pieces(df: DataFrame, name: str) -> DataFrame:
+        n = f"length({name})"
+        return (
+            df.selectExpr(name, f"{n} AS _m", f"{edits(n)} AS _k").selectExpr("*", "int(_m div (_k + 1)) AS _w", "_k + 1 - _m % (_k + 1) AS _plain")
+            .selectExpr("*", "explode(sequence(0, _k)) AS _i").selectExpr("*", "_i * _w + greatest(0, _i - _plain) AS _at")
+            .selectExpr(name, "_m", "_k", "_i", "_at", f"substring({name}, _at + 1, _w + int(_i >= _plain)) AS _piece")
+        )
+
+    def places(df: DataFrame, name: str) -> DataFrame:
+        widths = f"array_distinct(flatten(transform(sequence(_n, int(floor(_n / {threshold!r}D + 1e-9D))), m -> array(int(m div ({edits('m')} + 1)), int(ceil(m / ({edits('m')} + 1)))))))"
+        return (
+            df.selectExpr(name, f"length({name}) AS _n").selectExpr("*", f"explode({widths}) AS _w").filter("_w <= _n")
+            .selectExpr("*", "explode(sequence(0, _n - _w)) AS _to").selectExpr(name, "_n", "_to", f"substring({name}, _to + 1, _w) AS _piece")
+        )
+
+    def meet(long: DataFrame, short: DataFrame, length: str) -> DataFrame:
+        hot = long.groupBy("_piece").agg(F.ceil(F.count(F.lit(1)) / PIECE_ROWS).cast("int").alias("_parts")).filter("_parts > 1")
+        long = long.join(hot, "_piece", "left").withColumn("_part", F.pmod(F.xxhash64(long.columns[0]), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+        short = short.join(hot, "_piece", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        n = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given, as rows are small and their pairs are many
+        found = long.repartition(n, "_piece", "_part").join(short.repartition(n, "_piece", "_part"), ["_piece", "_part"]).filter(f"{length} AND _n >= _m * {threshold!r}D - 1e-9D AND abs(_to - _at) <= _i AND abs(_to - _at - _n + _m) <= _k - _i")
+        return found.filter("levenshtein(_a, _b, _k) >= 0").select("_a", "_b")
+
+    return meet(pieces(a, "_a"), places(b, "_b"), "_m >= _n").union(meet(pieces(b, "_b"), places(a, "_a"), "_m > _n")).distinct()
+
+
+def _by_rare_tokens(a: DataFrame, b: DataFrame, method: str, threshold: float) -> DataFrame:
+    """Pairs of ``_a`` and ``_b`` that may reach the threshold: if two sets share s members, the rarest size - s + 1 of each have one in common."""
+    if method == "jaccard":
+        share = threshold
+        tokens = lambda c: F.when(F.length(c) < 2, F.array(c)).otherwise(bigrams(c))
+    else:
+        # a common head adds at most 0.4 of the rest to a Jaro score of 0.7 or more, which is at most (m / |a| + m / |b| + 1) / 3
+        share = 3 * (max(0.7, (threshold - 0.4) / 0.6) if threshold >= 0.7 else threshold) - 2
+        tokens = lambda c: F.transform(F.split(c, ""), lambda x, i: F.concat(x, F.size(F.filter(F.slice(F.split(c, ""), 1, i), lambda y: y == x)).cast("string")))
+    each = [df.select(name, F.explode(tokens(F.col(name))).alias("_t")) for df, name in ((a, "_a"), (b, "_b"))]
+    often = each[0].select("_t").union(each[1].select("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_often"))
+
+    def rarest(df: DataFrame, name: str) -> DataFrame:
+        own = df.join(often, "_t").groupBy(name).agg(F.sort_array(F.collect_list(F.struct("_often", "_t"))).alias("_own"))
+        shared = F.greatest(F.ceil(F.size("_own") * share - 1e-9).cast("int"), F.lit(1))
+        return own.select(name, F.explode(F.slice("_own", 1, F.size("_own") - shared + 1)).alias("_x")).select(name, F.col("_x._t").alias("_t"))
+
+    return rarest(each[0], "_a").join(rarest(each[1], "_b"), "_t").select("_a", "_b").distinct()
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str = "left", method: str = "levenshtein", threshold: float = 0.75, best: bool = True, score_col: str = "_score", normalise: bool = True, prefix: str = "", suffix: str | None = None) -> DataFrame:
     """Rows whose strings are alike enough; with ``best`` the most alike of the right side only.
 
     Distinct strings are compared, not rows, so repeats on either side cost
-    nothing. Strings meet only if they can be alike: lengths within what the
-    threshold allows, or something in common. No pair above it is lost.
+    nothing. Strings meet only if they can be alike: in a piece that so few edits
+    must leave whole (Levenshtein), in one of their rarest bigrams or characters
+    (Jaccard, Jaro-Winkler) or in their code. No pair above the threshold is lost.
     """
     norm = (lambda c: F.lower(F.trim(c))) if normalise else (lambda c: c)
     own = left.select(*(quoted(c) for c in left.columns), norm(quoted(left_on).cast("string")).alias("_a"))
@@ -139,15 +197,11 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, h
     a = own.filter("_a <> ''").select("_a").distinct()
     b = r.filter("_b <> ''").select("_b").distinct()
     if method == "levenshtein" and threshold > 0:
-        # 1 - |len a - len b| / max len bounds the score; each length looks at those within reach
-        b = b.withColumn("_n", F.length("_b"))
-        reach = F.sequence(F.ceil(F.length("_a") * threshold - 1e-9).cast("int"), F.floor(F.length("_a") / threshold + 1e-9).cast("int"))
-        pairs = a.withColumn("_n", F.explode(reach)).join(b, "_n").drop("_n")
+        pairs = _by_segments(a, b, threshold)
+    elif method == "soundex" and threshold > 0:
+        pairs = a.withColumn("_k", soundex(F.col("_a"))).join(b.withColumn("_k", soundex(F.col("_b"))), "_k").select("_a", "_b")
     elif threshold > 0:
-        # alike strings share a bigram, a code, or (Jaro) a character
-        key = {"jaccard": bigrams, "soundex": lambda c: F.array(soundex(c)), "jaro-winkler": lambda c: F.array_distinct(F.split(c, ""))}[method]
-        short = lambda c: F.when(F.length(c) < 2, F.array(c)).otherwise(key(c)) if method == "jaccard" else key(c)
-        pairs = a.withColumn("_k", F.explode(short(F.col("_a")))).join(b.withColumn("_k", F.explode(short(F.col("_b")))), "_k").select("_a", "_b").distinct()
+        pairs = _by_rare_tokens(a, b, method, threshold)
     else:
         pairs = a.join(b, F.lit(True))  # with no threshold every pair is asked for
     scored = pairs.withColumn("_s", SCORES[method](F.col("_a"), F.col("_b"))).filter(F.col("_s") >= threshold)

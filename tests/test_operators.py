@@ -48,14 +48,16 @@ def test_fuzzy(spark):
     assert [r[0] for r in w.select(joins.soundex(F.col("w"))).collect()] == ["R163", "R163", "0000"]
 
 
-def test_length_blocking_loses_no_pair(spark):
+@pytest.mark.parametrize("method, least", [("levenshtein", 0.05), ("levenshtein", 0.5), ("levenshtein", 0.6), ("levenshtein", 0.75), ("levenshtein", 1), ("jaccard", 0.2), ("jaccard", 0.6), ("jaccard", 1.0), ("jaro-winkler", 0.3), ("jaro-winkler", 0.72), ("jaro-winkler", 0.9)])
+def test_blocking_loses_no_pair(spark, method, least):
     r = random.Random(1)
-    words = ["".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(60)]
-    a = spark.createDataFrame([(w,) for w in sorted(set(words[:30]))], "a string")
-    b = spark.createDataFrame([(w,) for w in sorted(set(words[30:]))], "b string")
-    got = {(x.a, x.b) for x in joins.fuzzy_join(a, b, "a", "b", "inner", threshold=0.6, best=False).collect()}
-    every = a.crossJoin(b).select("a", "b", joins.levenshtein(F.col("a"), F.col("b")).alias("s")).filter("s >= 0.6")
-    assert got == {(x.a, x.b) for x in every.collect()}
+    words = ["".join(r.choice("abcé😀") for _ in range(r.randint(1, 9))) for _ in range(30)] + [w * 3 for w in ("abcde", "éabd")]
+    words += [w[:i] + "x" + w[i + r.randint(0, 2):] for w in words for i in (0, len(w) // 2)]
+    a = spark.createDataFrame([(w,) for w in sorted(set(words[::2]))], "a string")
+    b = spark.createDataFrame([(w,) for w in sorted(set(words[1::2] + words[::4]))], "b string")
+    got = [(x.a, x.b) for x in joins.fuzzy_join(a, b, "a", "b", "inner", method, threshold=least, best=False).collect()]
+    every = a.crossJoin(b).select("a", "b", joins.SCORES[method](F.col("a"), F.col("b")).alias("s")).filter(F.col("s") >= least)
+    assert sorted(got) == sorted((x.a, x.b) for x in every.collect()) and got
 
 
 def test_order(spark):
