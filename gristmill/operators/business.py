@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -173,12 +174,23 @@ def ab_test(df: DataFrame, group: str, value: str, control: str, variant: str, k
     )
 
 
+def _exact(df: DataFrame, c: str) -> str | None:
+    """The decimal type in which sums of a column's doubles are exact to 38 digits, so that they depend on no order; none if a value is not finite or too large."""
+    most = df.agg(F.sum(F.abs(c))).first()[0] or 0.0
+    return f"decimal(38,{min(30, 36 - max(0, math.ceil(math.log10(most + 1))))})" if most < 1e30 else None
+
+
 def pareto(df: DataFrame, item: str, value: str, a: float = 80.0, b: float = 95.0) -> DataFrame:
-    """rank, item, value, share_pct, cumulative_value, cumulative_pct, abc_class; largest first, ties by item."""
+    """rank, item, value, share_pct, cumulative_value, cumulative_pct, abc_class; largest first, ties by item.
+
+    Sums are decimal, so items of the same total are ties whatever the order of their rows.
+    """
     v = F.coalesce(co.parse_float(quoted(value), _kind(df, value)), F.lit(0.0))
-    sums = df.select(quoted(item).cast("string").alias("item"), v.alias("v")).filter("item <> ''").groupBy("item").agg(F.sum("v").alias("v"))
+    rows = df.select(quoted(item).cast("string").alias("item"), v.alias("v")).filter("item <> ''")
+    exact = _exact(rows, "v")
+    sums = rows.groupBy("item").agg(F.sum(F.col("v").cast(exact) if exact else "v").alias("v"))
     total = sums.agg(F.sum("v")).first()[0] or 0.0
-    out = placed(sums, [F.desc("v"), F.col("item")], "rank", {"run": "v"}).withColumn("total", F.lit(float(total)))
+    out = placed(sums, [F.desc("v"), F.col("item")], "rank", {"run": "v"}).withColumns({"v": F.col("v").cast("double"), "run": F.col("run").cast("double"), "total": F.lit(float(total))})
     share = lambda c: F.when(F.col("total") > 0, F.col(c) / F.col("total") * 100).otherwise(0.0)
     cls = F.when((share("run") <= a) | (F.col("rank") == 1), "A").when(share("run") <= b, "B").otherwise("C")
     return out.select("rank", "item", co.half_up(F.col("v"), 2).alias("value"), co.half_up(share("v"), 2).alias("share_pct"), co.half_up(F.col("run"), 2).alias("cumulative_value"), co.half_up(share("run"), 1).alias("cumulative_pct"), cls.alias("abc_class")).orderBy("rank")

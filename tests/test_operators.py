@@ -256,6 +256,15 @@ def test_business(spark):
     assert B.detect_column(o, "amount|total", 0) == "amount"
 
 
+def test_pareto_ties(spark):
+    """Equal totals are ties by item, in whichever order their rows are added up."""
+    rows = [("b", 0.1), ("b", 0.2), ("b", 0.3), ("a", 0.3), ("a", 0.2), ("a", 0.1)]
+    got = B.pareto(spark.createDataFrame(rows, "item string, v double").coalesce(1), "item", "v").collect()
+    assert [(r["rank"], r["item"], r["value"]) for r in got] == [(1, "a", 0.6), (2, "b", 0.6)]
+    odd = B.pareto(spark.createDataFrame([("a", 1e300), ("b", 1.0)], "item string, v double"), "item", "v").collect()
+    assert [(r["item"], r["abc_class"]) for r in odd] == [("a", "A"), ("b", "C")]
+
+
 def test_finance(spark):
     prices = [10, 11, 12, 13, 14, 15, 14, 13, 12, 11]
     df = spark.createDataFrame([(i, float(p), 100) for i, p in enumerate(prices)], "time long, price double, volume long")
