@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gristmill.errors import ArgumentError, DuplicateKeyError, MismatchError, ValidationError
 from gristmill.operators import aggregate as A
 from gristmill.operators import business as B
-from gristmill.operators import cluster, diff, finance, joins, ordering, profile, rows, setops, statistics, text, timeseries, windows
+from gristmill.operators import alike, cluster, diff, finance, joins, ordering, profile, rows, setops, statistics, text, timeseries, windows
 
 
 def rowsof(df):
@@ -60,6 +60,38 @@ def test_blocking_loses_no_pair(spark, method, least):
     assert sorted(got) == sorted((x.a, x.b) for x in every.collect()) and got
 
 
+@pytest.mark.parametrize("method, least", [("levenshtein", 0.05), ("levenshtein", 0.6), ("levenshtein", 1), ("jaccard", 0.2), ("jaccard", 1.0)])
+def test_walking_all_pairs_loses_none(spark, monkeypatch, method, least):
+    monkeypatch.setattr(joins, "FEW_PAIRS", 0)
+    monkeypatch.setattr(joins, "CROWDED", -1.0)
+    r = random.Random(1)
+    words = ["".join(r.choice("abcé😀") for _ in range(r.randint(1, 9))) for _ in range(30)] + [w * 3 for w in ("abcde", "éabd")]
+    words += [f"item#{i:05d}" for i in range(40)]
+    a = spark.createDataFrame([(w,) for w in sorted(set(words[::2]))] + [("",), (None,)], "a string")
+    b = spark.createDataFrame([(w,) for w in sorted(set(words[1::2] + words[::4]))], "b string")
+    got = joins.fuzzy_join(a, b, "a", "b", "inner", method, threshold=least, best=False)
+    every = a.filter("a <> ''").crossJoin(b).select("a", "b", joins.SCORES[method](F.col("a"), F.col("b")).alias("s")).filter(F.col("s") >= least).collect()
+    assert sorted((x.a, x.b, x._score) for x in got.collect()) == sorted((x.a, x.b, math.floor(x.s * 10000 + 0.5) / 10000) for x in every)
+    best = {}
+    for x in every:
+        best[x.a] = min(best.get(x.a, (1.0, "")), (-x.s, x.b))
+    found = joins.fuzzy_join(a, b, "a", "b", "left", method, threshold=least).collect()
+    assert len(found) == a.count() and {x.a: x.b for x in found if x.b is not None} == {k: v[1] for k, v in best.items()}
+
+
+def test_names_with_a_common_head_are_walked(spark, monkeypatch):
+    """1,100 by 1,100 names that nearly all share pieces and bigrams; by pieces every pair would meet."""
+    walked = []
+    monkeypatch.setattr(joins, "all_pairs", lambda *x: walked.append(x[2]) or alike.all_pairs(*x))
+    a = spark.range(1100).selectExpr("format_string('Supplier#%09d', id) AS a")
+    b = spark.range(1100).selectExpr("format_string('Customer#%09d', id) AS b")
+    got = joins.fuzzy_join(a, b, "a", "b", "inner", threshold=0.7, best=False).collect()
+    assert len(got) == 1100 and all(x.a[-9:] == x.b[-9:] and x._score == 0.7222 for x in got)
+    joins.fuzzy_join(a, b, "a", "b", "inner", "jaccard", threshold=0.3)
+    varied = a.selectExpr("sha2(a, 256) AS a"), b.selectExpr("sha2(b, 256) AS b")
+    assert joins.fuzzy_join(*varied, "a", "b", "inner", threshold=0.9).count() == 0 and walked == ["levenshtein", "jaccard"]
+
+
 def test_order(spark):
     df = spark.createDataFrame([("Alice", 85, 1200), ("Bob", 92, 800), ("Charlie", 78, 2500), ("David", 95, 1500), ("Eve", 88, 3100)], "name string, score long, revenue long")
     assert [r.name for r in ordering.top(df, "revenue", 3).collect()] == ["Eve", "Charlie", "David"]
