@@ -5,6 +5,8 @@ import json
 import os
 import sqlite3
 import threading
+import tracemalloc
+import zipfile
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -75,6 +77,29 @@ def test_xlsx(spark, tmp_path, table):
     assert writers.export_sheets(spark, p, str(tmp_path)) == [str(tmp_path / "Users.csv")]
 
 
+def test_xlsx_is_read_row_by_row(spark, tmp_path):
+    """Neither the driver nor the task holds the sheet; widths vary, empty rows are skipped, names may repeat."""
+    p = str(tmp_path / "w.xlsx")
+    writers.write(spark.range(30_000).selectExpr("id", "concat('name ', id) AS name", "id % 2 = 0 AS even"), p)
+    part = containers.sheets(p)["Sheet1"]
+    tracemalloc.start()
+    assert sum(int(r[0]) for r in containers._xlsx_rows(p, part) if r[0] != "id") == 30_000 * 29_999 // 2
+    got = readers.read(spark, p)
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+    assert got.count() == 30_000 and got.filter("id = 29999").collect() == [("29999", "name 29999", "false")]
+    with zipfile.ZipFile(p) as z:
+        rest = {n: z.read(n) for n in z.namelist() if n != part}
+    cells = lambda *v: "<row>" + "".join(f'<c t="s"><v>{x}</v></c>' for x in v) + "</row>"
+    with zipfile.ZipFile(p, "w") as z:
+        for n, body in rest.items():
+            z.writestr(n, body)
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{containers.NS["m"]}"><si><t>a</t></si><si><r><t>b</t></r><r><t>c</t></r></si></sst>')
+        z.writestr(part, f'<worksheet xmlns="{containers.NS["m"]}"><sheetData><row/>{cells(0, 0)}{cells(1)}<row/>{cells(1, 0, 1)}</sheetData></worksheet>')
+    again = readers.read(spark, p)
+    assert again.columns == ["a", "a"] and [tuple(r) for r in again.collect()] == [("bc", ""), ("bc", "a")]
+
+
 def test_sqlite(spark, tmp_path):
     p = str(tmp_path / "d.db")
     with sqlite3.connect(p) as c:
