@@ -187,6 +187,7 @@ def confirmed(own: DataFrame, pairs: DataFrame, num: int, den: int, k: int = 5,
     parts = part.groupBy("component", "members", "grp", "label").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "id")).alias("hub"))
     hubs = parts.groupBy("component", "members", "grp").agg(F.max(F.struct("n", "hub")).alias("x"))
     hubs = hubs.select(F.col("x.hub.id").alias("id"), F.xxhash64("component", F.lit("hubs"), F.pmod(F.xxhash64("grp"), F.ceil(F.col("members") / BLOCK / BLOCK))).alias("grp"))
+    hubs = materialize(hubs, "link-hubs")  # of known size, so that the sets need not be dealt by id to meet it
     second = settle_groups(sets, hubs, num, den).filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
     edges = materialize(edges.unionByName(second), "link-edges")
 

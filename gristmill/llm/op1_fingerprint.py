@@ -8,7 +8,8 @@ fingerprints agree in a lane about as often as the texts' shingle sets overlap.
 edited text made of both. Rows are dealt once by ranges of the id; the first
 row of a range also goes to the range before it, so that no window over the
 whole table is needed. ``near_duplicates`` joins bands of fingerprints (A-Z as
-a-z) and confirms the Jaccard similarity on the full sets.
+a-z) and confirms the Jaccard similarity on the full sets; links among members
+of crowded bands are found by their rare shingles, as in op8_forest.
 
 Defined results: null text is empty; an empty text's fingerprint has all bits
 set and is like another empty text's only; null ids come last; rows that share
@@ -25,21 +26,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import op8_forest
 from .graph import components
 from .linkage import confirmed, shingle_sets
-from .store import materialize, partitions, tidy
+from .store import forgotten, materialize, partitions, tidy
 from .textops import EMPTY, mix, permutations, signatures
 
 LANES, WORDS, SEED, BANDS, BAND = 128, 5, 1, 24, 4
-#: Members of a band that a row is a candidate with, beside the first.
-NEAR = 8
+#: Members up to which all pairs of a band are candidates; in larger ones, of those that follow, the first and so many before each.
+ALL, NEAR = 32, 8
 BATCH = 256
 SPREAD = np.uint32(0x9E3779B1)
 
 
-def lanes(col: pa.Array, fold: bool = False) -> np.ndarray:
+def lanes(col: pa.Array) -> np.ndarray:
     """(rows, LANES) 16-bit lanes of the fingerprints of a column of texts."""
-    sig = signatures(shingle_sets(col, WORDS, fold), permutations(LANES, SEED))
+    return _lanes(shingle_sets(col, WORDS, False))
+
+
+def _lanes(sets: list[np.ndarray]) -> np.ndarray:
+    sig = signatures(sets, permutations(LANES, SEED))
     with np.errstate(over="ignore"):  # a minimum's own upper bits are mostly zeros
         return np.where(sig == EMPTY, 0xFFFF, (sig * SPREAD) >> np.uint32(16)).astype(">u2")
 
@@ -128,28 +134,35 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, BATCH):
                 part = b.slice(at, BATCH)
-                sig = lanes(part["text"], fold=True).astype(np.uint64)
+                sets = shingle_sets(part["text"], WORDS, True)
+                sig = _lanes(sets).astype(np.uint64)
                 full = (sig != 0xFFFF).any(axis=1)
                 quad = sig[:, : BANDS * BAND].reshape(len(sig), BANDS, BAND)
                 key = mix((quad << np.array([0, 16, 32, 48], np.uint64)).sum(axis=2, dtype=np.uint64) + salt)[full]
                 ids = part["id"].to_numpy(zero_copy_only=False)[full]
                 raw = [x.astype(np.uint8).tobytes() for x in sig[full]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key.astype(np.int64).tolist(), pa.list_(pa.int64())), pa.array(raw, pa.binary())], names=["id", "keys", "low"])
+                whole = [[int(mix(x ^ np.uint64(y)).sum(dtype=np.uint64).astype(np.int64)) for x, z in zip(sets, full, strict=True) if z] for y in (0x51ED, 0xA3C7)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key.astype(np.int64).tolist(), pa.list_(pa.int64())), pa.array(raw, pa.binary()), *(pa.array(x, pa.int64()) for x in whole)], names=["id", "keys", "low", "one", "two"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and id -> pairs (a, b): each row with the key's first and with the NEAR before it, so that small bands give all pairs."""
-    at, hub, before = None, None, []
+    """Rows sorted by key and id -> pairs (a, b): all of a key's first ALL rows, those after them with the first and with the NEAR before each. The members of a key with more than ALL are pairs with themselves."""
+    at, seen, hub, before = None, 0, None, []
     for b in batches:
         one, two = [], []
         for key, i in zip(b["key"].to_pylist(), b["id"].to_pylist(), strict=True):
             if key != at:
-                at, hub, before = key, i, []
-            if i != hub or before:
-                others = {hub, *before} - {i}
-                one += others
-                two += [i] * len(others)
-            before = [*before[1 - NEAR :], i] if len(before) >= NEAR else [*before, i]
+                at, seen, hub, before = key, 0, i, []
+            others = {hub, *before} - {i}
+            one += others
+            two += [i] * len(others)
+            before.append(i)
+            seen += 1
+            if seen > ALL:
+                crowd = before if seen == ALL + 1 else [i]
+                one += crowd
+                two += crowd
+                before = before[-NEAR:]
         yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
 
 
@@ -168,29 +181,36 @@ def _alike(least: float):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
     """(id, component): documents linked by ``den`` * intersection >= ``num`` * union of their shingle sets; only those that are linked.
 
-    Documents that share a band are candidates: all pairs of up to NEAR + 1, and
-    in larger bands each with the first and with the NEAR before it. Pairs whose
-    fingerprints agree often enough are decided on the full sets.
+    Documents that share a band are candidates: all pairs of up to ALL. Pairs whose
+    fingerprints agree often enough are decided on the full sets. In larger bands
+    that is done for some pairs of each member, and what these leave apart is
+    found by rare shingles and decided on the full sets too (see op8_forest).
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    banded = own.mapInArrow(_banded, "id long, keys array<long>, low binary").withColumn("whole", F.xxhash64("keys"))
-    banded = materialize(banded, "bands")
-    # documents with all bands in common enter them once, so a group of copies costs each band one row
-    first = materialize(banded.groupBy("whole").agg(F.min("id").alias("first")), "band-first")
-    same = banded.select("id", "whole").join(first, "whole").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    banded = materialize(own.mapInArrow(_banded, "id long, keys array<long>, low binary, one long, two long"), "bands")
+    # documents with equal sets enter the bands once, so a group of copies costs each band one row
+    first = materialize(banded.groupBy("one", "two").agg(F.min("id").alias("first")), "band-first")
+    same = banded.select("id", "one", "two").join(first, ["one", "two"]).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     banded = banded.join(first.select(F.col("first").alias("id")), "id", "left_semi")
     keys = banded.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id")
-    pairs = materialize(keys.mapInArrow(_met, "a long, b long").distinct(), "band-met")
-    low = banded.select("id", "low").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    met = materialize(keys.mapInArrow(_met, "a long, b long").distinct(), "band-met")
+    pairs, crowded = met.filter("a <> b"), met.filter("a = b").select(F.col("a").alias("id"))
+    low = banded.select("id", "low").join(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    low = materialize(low, "band-low")
     pairs = pairs.join(low.withColumnRenamed("id", "a"), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("other")), "b").select("a", "b", "low", "other")
     pairs = materialize(pairs.mapInArrow(_alike(num / den - 0.2), "a long, b long").unionByName(same), "band-pairs")
-    return components(confirmed(own, pairs, num, den, WORDS, True)).select(F.col("node").alias(id_col), "component")
+    label = components(confirmed(own, pairs, num, den, WORDS, True))
+    if not crowded.isEmpty():
+        nodes = low.select("id", F.substring("low", 1, op8_forest.LANES).alias("low"))
+        label = op8_forest.apart(own, nodes, crowded, label, num, den, WORDS, True)
+    return label.select(F.col("node").alias(id_col), "component")
 
 
 @tidy
 def fingerprints_with_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``fingerprint_documents`` with each row's ``component``: the smallest id among its near-duplicates, its own if it has none."""
     linked = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("linked"), "component")
+    forgotten(docs.sparkSession)
     made = fingerprint_documents(docs, id_col, text_col)
     joined = made.join(linked, made[id_col] == linked["linked"], "left")
     return joined.drop("linked").withColumn("component", F.coalesce("component", F.col(id_col)))

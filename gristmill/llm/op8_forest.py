@@ -338,6 +338,22 @@ def met_pairs(own: DataFrame, nodes: DataFrame, met: DataFrame, label: DataFrame
     return materialize(pairs.filter("a <> b").distinct(), "forest-met-pairs")
 
 
+def apart(own: DataFrame, nodes: DataFrame, crowded: DataFrame, label: DataFrame, num: int, den: int, k: int, fold: bool) -> DataFrame:
+    """``label`` (node, component) with the links among ``crowded`` (id) that it leaves apart. ``nodes`` (id, low): a byte of each of LANES signature values."""
+    met = meetings(own, crowded, num, den, k, fold)
+    decided = None
+    for first in (FIRST, None):  # the likeliest partners first: then hardly any pairs are left
+        further = met_pairs(own, nodes, met, label, num, den, k, fold, first)
+        if further is not None and decided is not None:
+            further = materialize(further.join(decided, ["a", "b"], "left_anti"), "forest-further")
+        if further is None or further.isEmpty():
+            break
+        decided = further
+        found = verified(own, further, num, den, k, fold)
+        label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+    return label
+
+
 def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One byte of each signature value, for estimates."""
     for b in batches:
@@ -361,17 +377,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = components(links.unionByName(shared))
     crowded = materialize(member.filter(F.col("members") > SMALL).select("id").distinct(), "forest-crowded")
     if not crowded.isEmpty():
-        met = meetings(own, crowded, num, den, k, fold)
-        decided = None
-        for first in (FIRST, None):  # the likeliest partners first: then hardly any pairs are left
-            further = met_pairs(own, nodes, met, label, num, den, k, fold, first)
-            if further is not None and decided is not None:
-                further = materialize(further.join(decided, ["a", "b"], "left_anti"), "forest-further")
-            if further is None or further.isEmpty():
-                break
-            decided = further
-            found = verified(own, further, num, den, k, fold)
-            label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+        label = apart(own, nodes, crowded, label, num, den, k, fold)
     of_set = sets.join(label, F.col("rep") == F.col("node"), "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component_id"))
     empty = scanned.filter("n = 0 or id is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     rest = scanned.filter("n > 0 and id is not null").join(of_set, ["n", "one", "two"]).select("id", F.col("n").alias("n_shingles"), "component_id")

@@ -189,6 +189,18 @@ def test_bands_of_a_shared_template(spark):
     assert len(got) >= 0.9 * len(rows)
 
 
+def test_no_partner_is_lost_in_crowded_bands(spark):
+    """Bands of a thousand documents, where the partner is seldom among the first and the nearest members."""
+    rows = template_pairs(1200, 40, 9)
+    r = random.Random(3)
+    place = list(range(1200))
+    r.shuffle(place)
+    rows = [(place[i], t) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component for x in op1_fingerprint.near_duplicates(df).collect()}
+    assert got == {place[i]: min(place[i], place[i ^ 1]) for i in range(1200)}
+
+
 @pytest.mark.parametrize("which", ["odd", "documents"])
 def test_fingerprints(which, request):
     df = request.getfixturevalue(which)
