@@ -31,7 +31,7 @@ def classes() -> np.ndarray:
     if _classes is None:
         import regex
 
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        every = np.r_[0:0xD800, 0xE000:0x110000].astype("<u4").tobytes().decode("utf-32-le")
         table = np.full(0x110000, OTHER, np.uint8)
         for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
             table[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import op8_forest
 from .graph import components
 from .linkage import confirmed, shingle_sets
-from .store import forgotten, materialize, partitions, tidy
+from .store import materialize, partitions, tidy
 from .textops import EMPTY, mix, permutations, signatures
 
 LANES, WORDS, SEED, BANDS, BAND = 128, 5, 1, 24, 4
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = banded.join(first.select(F.col("first").alias("id")), "id", "left_semi")
     keys = banded.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id")
     met = materialize(keys.mapInArrow(_met, "a long, b long").distinct(), "band-met")
-    pairs, crowded = met.filter("a <> b"), met.filter("a = b").select(F.col("a").alias("id"))
+    pairs, crowded = met.filter("a <> b"), materialize(met.filter("a = b").select(F.col("a").alias("id")), "band-crowded")
     low = banded.select("id", "low").join(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
     low = materialize(low, "band-low")
     pairs = pairs.join(low.withColumnRenamed("id", "a"), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("other")), "b").select("a", "b", "low", "other")
@@ -210,7 +210,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def fingerprints_with_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``fingerprint_documents`` with each row's ``component``: the smallest id among its near-duplicates, its own if it has none."""
     linked = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("linked"), "component")
-    forgotten(docs.sparkSession)
     made = fingerprint_documents(docs, id_col, text_col)
     joined = made.join(linked, made[id_col] == linked["linked"], "left")
     return joined.drop("linked").withColumn("component", F.coalesce("component", F.col(id_col)))
