@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize, tidy
+from .store import materialize, narrow, tidy
 
 TASK_EDGES = 1_000_000
 
@@ -40,6 +40,14 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges -> every node and the smallest node of its component."""
+    held = [(b["u"].to_numpy(), b["v"].to_numpy()) for b in batches]
+    if held:
+        nodes, low = roots(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(low, pa.int64())], names=["node", "component"])
+
+
 def _contracted(most: int):
     """Edges of a partition -> edges from each node to its smallest, stretch by stretch."""
 
@@ -77,11 +85,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", task_edges: int = T
     before = None
     while True:
         n = e.count()
-        local = _contracted(max(1, task_edges))
         if n <= task_edges:
-            e = materialize(e.coalesce(1).mapInArrow(local, "u long, v long"), "edges")
-            break
-        e = materialize(e.mapInArrow(local, "u long, v long").distinct(), "edges")
+            return materialize(e.coalesce(1).mapInArrow(_settled, "node long, component long"), "components")
+        e = materialize(narrow(e.mapInArrow(_contracted(max(1, task_edges)), "u long, v long").distinct()), "edges")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

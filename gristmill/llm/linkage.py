@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import materialize, tidy
+from .store import materialize, narrow, tidy
 from .textops import buffers, chunks, shingles, word_hashes
 
 BLOCK = 256
@@ -147,7 +147,7 @@ def verified(own: DataFrame, pairs: DataFrame, num: int, den: int, k: int = 5, f
     The end with more pairs leads: its set is sent once for PAIRS of its pairs.
     """
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    ends = materialize(ends, "link-ends")
+    ends = materialize(narrow(ends), "link-ends")
     sets = sets_of(own, ends.select("id"), k, fold)
     turned = pairs.join(ends.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     first = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))

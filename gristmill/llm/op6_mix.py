@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize, tidy
+from .store import materialize, narrow, tidy
 from .textops import buffers, chunks, spans
 
 CELL_BITS, LEVELS, CORRECTIONS = 12, 3, 4
@@ -63,7 +63,7 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """source, source_size, target: ``share`` of all words by repeating weights, held at ``cap`` times a source's words."""
-    every = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    every = materialize(narrow(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-sources")
     # one row per source, after aggregation
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
@@ -129,7 +129,7 @@ class Dual:
         if not self.words:
             return state, theta
         for _ in range(STEPS):
-            here = materialize(self.evaluated(state, theta), "mix-newton")
+            here = materialize(narrow(self.evaluated(state, theta)), "mix-newton")
             g, h = F.col("r") - F.col("target"), F.col("h") + small
             free = F.col("free")
             got = here.agg(
@@ -161,7 +161,7 @@ class Dual:
 
 def tilted(sized: DataFrame, plan: DataFrame, cap: float) -> tuple[DataFrame, Dual, float]:
     """``plan`` with each source's dual variable, the dual, and that of the length."""
-    cells = materialize(sized.groupBy(F.col("source").alias("s"), "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
+    cells = materialize(narrow(sized.groupBy(F.col("source").alias("s"), "size").agg(F.count(F.lit(1)).alias("n"))), "mix-cells")
     dual = Dual(cells, plan.withColumnRenamed("source", "s"), cap)
     state, theta = dual.solve()
     return state, dual, theta
@@ -183,7 +183,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # for each source: documents with v below `below` get one more copy; `need` words are still missing
     state = rows.groupBy(F.col("source").alias("s")).agg((F.first("target") - F.sum(F.col("base") * F.col("size"))).alias("need")).withColumn("below", F.lit(0).cast("long"))
-    state = materialize(state, "mix-state")
+    state = materialize(narrow(state), "mix-state")
     for level in range(1, LEVELS + 1):
         width = bits - CELL_BITS * level
         here = rows.join(state, F.col("source").eqNullSafe(F.col("s"))).filter(F.shiftright("v", width + CELL_BITS) == F.shiftright("below", width + CELL_BITS))
@@ -194,7 +194,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             F.min(F.when(F.col("up_to") > F.col("need"), F.struct("cell", F.col("up_to").alias("passed"), F.col("words").alias("over")))).alias("x"), F.sum("words").alias("all"))
         end = F.shiftleft(F.shiftright("below", width + CELL_BITS) + 1, width + CELL_BITS)
         found = crossing.select("s", F.when(F.col("x").isNull(), end).otherwise(F.shiftleft("x.cell", width)).alias("next"), F.when(F.col("x").isNull(), F.col("need") - F.col("all")).otherwise(F.col("need") - F.col("x.passed") + F.col("x.over")).alias("left"))
-        state = materialize(state.alias("a").join(found.alias("b"), F.col("a.s").eqNullSafe(F.col("b.s")), "left").select("a.s", F.coalesce("next", "below").alias("below"), F.coalesce("left", "need").alias("need")), "mix-state")
+        found = state.alias("a").join(found.alias("b"), F.col("a.s").eqNullSafe(F.col("b.s")), "left")
+        # one row per source on both sides
+        state = materialize(narrow(found.select("a.s", F.coalesce("next", "below").alias("below"), F.coalesce("left", "need").alias("need"))), "mix-state")
     copies = F.least(F.lit(cap), F.col("base") + F.coalesce(F.col("v") < F.col("below"), F.lit(False)).cast("long"))
     rows = rows.join(state, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", F.greatest(F.lit(0), copies).cast("long")).drop("s", "below", "need", "base", "v")
     rows = rows.withColumn("taken", F.col("copies") * F.col("size"))
@@ -220,7 +222,7 @@ def _corrections(rows: DataFrame, cap: float, partial: bool) -> DataFrame | None
     for last in [False] * CORRECTIONS + [True] * partial:
         now = _changed(rows, changes)
         missing = now.groupBy("source").agg(F.round(F.first("target") - F.sum("taken")).cast("long").alias("missing")).withColumnRenamed("source", "s")
-        missing = materialize(missing.filter("missing <> 0"), "mix-missing")
+        missing = materialize(narrow(missing.filter("missing <> 0")), "mix-missing")
         near = now.join(missing, F.col("source").eqNullSafe(F.col("s")))
         sign = F.signum("missing").cast("long")
         if last:
@@ -232,7 +234,7 @@ def _corrections(rows: DataFrame, cap: float, partial: bool) -> DataFrame | None
             first, words = off, sign * F.col("size")
         # of equally good ones, one draw is taken; rows that share id and draw change together
         best = near.filter(can).groupBy("s").agg(F.min(F.struct(first.alias("first"), "draw", F.col("id").alias("at"), words.alias("words"))).alias("best"))
-        best = materialize(best.select("s", "best.at", F.col("best.draw").alias("d"), "best.words"), "mix-best")
+        best = materialize(narrow(best.select("s", "best.at", F.col("best.draw").alias("d"), "best.words")), "mix-best")
         if best.isEmpty():
             continue
         changes = best if changes is None else changes.unionByName(best)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .linkage import confirmed, shingle_sets, verified
-from .store import materialize, tidy
+from .store import dropped, materialize, narrow, tidy
 from .textops import mix, permutations, signatures
 
 TREES, DEPTH, LANES, SEED = 16, 4, 64, 8
@@ -144,7 +144,7 @@ def candidate_pairs(nodes: DataFrame, member: DataFrame, least: float, close: fl
     """Candidate pairs (a, b): all of small regions, neighbours of crowded ones."""
     placed = member.join(nodes.select("id", "low"), "id").select("key", "tree", "id", "members", "low").mapInArrow(_placed, "key long, id long, members long, low binary, order binary, sub binary")
     rows = placed.repartition("key", "sub").sortWithinPartitions("key", "sub", "order", "id")
-    return rows.mapInArrow(_neighbours(least, close), "a long, b long").filter("a <> b").distinct()
+    return narrow(rows.mapInArrow(_neighbours(least, close), "a long, b long").filter("a <> b").distinct())
 
 
 def _cells(k: int, fold: bool):
@@ -311,22 +311,31 @@ def _between(least: float, fine: float, num: int, den: int, first: int | None):
 
 
 @tidy
-def met_pairs(own: DataFrame, nodes: DataFrame, met: DataFrame, label: DataFrame, num: int, den: int, k: int, fold: bool, first: int | None) -> DataFrame | None:
-    """Pairs (a, b) of different components ``label`` (node, component) that meet and may be linked; None if there are none.
+def apart_members(met: DataFrame, label: DataFrame) -> DataFrame:
+    """``met`` with label, main, outer, inner: the keys where members of different components ``label`` (node, component) meet.
 
-    Of each key's members every one outside its largest component is compared
-    with every member, in chunks of about BLOCK rows.
+    main: the label of a key's largest component; outer, inner: chunks of about
+    BLOCK rows for the members outside it and in it.
     """
     where = met.join(label.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     where = materialize(where, "forest-where")
     part = where.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("short")).groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("x"), F.max("short").alias("any"))
     outer, inner = F.ceil((F.col("members") - F.col("x.n")) / BLOCK), F.ceil(F.col("x.n") / BLOCK)
     part = part.filter("any = 1 and members > x.n").select("key", F.col("x.label").alias("main"), outer.alias("outer"), inner.alias("inner"))
-    dealt = materialize(where.join(part, "key"), "forest-dealt")
-    if dealt.isEmpty():
-        return None
-    more = materialize(own.join(dealt.select("id").distinct(), "id").mapInArrow(_more(k, fold), "id long, more binary").distinct(), "forest-more")
+    return materialize(where.join(part, "key"), "forest-dealt")
+
+
+def longer_signatures(own: DataFrame, dealt: DataFrame, k: int, fold: bool) -> DataFrame:
+    """(id, more): further lanes of the documents in ``dealt``."""
+    return materialize(narrow(own.join(dealt.select("id").distinct(), "id").mapInArrow(_more(k, fold), "id long, more binary").distinct()), "forest-more")
+
 
+def met_pairs(nodes: DataFrame, dealt: DataFrame, more: DataFrame, num: int, den: int, first: int | None) -> DataFrame:
+    """Pairs (a, b) of different components that meet in ``dealt`` and may be linked.
+
+    Of each key's members every one outside its largest component is compared
+    with every member.
+    """
     outside, hash_ = F.col("label") != F.col("main"), F.xxhash64("id")
     dealt = dealt.withColumn("chunk", F.when(outside, F.pmod(hash_, F.col("outer"))).otherwise(F.col("outer") + F.pmod(hash_, F.col("inner"))))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.when(outside, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1))
@@ -335,18 +344,24 @@ def met_pairs(own: DataFrame, nodes: DataFrame, met: DataFrame, label: DataFrame
     rows = rows.join(nodes.select("id", "low"), "id").join(more, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     least, fine = num / den - MARGIN, num / den - FINE
     pairs = rows.select("key", "i", "j", "id", "chunk", "label", "n", "place", "low", "more").mapInArrow(_between(least, fine, num, den, first), "a long, b long")
-    return materialize(pairs.filter("a <> b").distinct(), "forest-met-pairs")
+    return materialize(narrow(pairs.filter("a <> b").distinct()), "forest-met-pairs")
 
 
 def apart(own: DataFrame, nodes: DataFrame, crowded: DataFrame, label: DataFrame, num: int, den: int, k: int, fold: bool) -> DataFrame:
     """``label`` (node, component) with the links among ``crowded`` (id) that it leaves apart. ``nodes`` (id, low): a byte of each of LANES signature values."""
     met = meetings(own, crowded, num, den, k, fold)
-    decided = None
+    decided, more = None, None
     for first in (FIRST, None):  # the likeliest partners first: then hardly any pairs are left
-        further = met_pairs(own, nodes, met, label, num, den, k, fold, first)
-        if further is not None and decided is not None:
+        dealt = apart_members(met, label)
+        if dealt.isEmpty():
+            break
+        if more is None:  # components only grow together, so that later members are among the first
+            more = longer_signatures(own, dealt, k, fold)
+        further = met_pairs(nodes, dealt, more, num, den, first)
+        dropped(dealt)
+        if decided is not None:
             further = materialize(further.join(decided, ["a", "b"], "left_anti"), "forest-further")
-        if further is None or further.isEmpty():
+        if further.isEmpty():
             break
         decided = further
         found = verified(own, further, num, den, k, fold)
@@ -367,7 +382,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scanned = materialize(own.mapInArrow(_scanned(k, fold), "id long, n long, one long, two long, sig binary"), "forest-scan")
     sets = scanned.filter("n > 0 and id is not null").groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
-    sets = materialize(sets, "forest-sets")
+    sets = materialize(narrow(sets), "forest-sets")
     nodes = materialize(sets.select(F.col("rep").alias("id"), "sig").mapInArrow(_low, "id long, sig binary, low binary"), "forest-nodes")
     # rows that share an id but not a set
     shared = scanned.filter("n > 0 and id is not null").select("id", "n", "one", "two").distinct().join(sets.select("n", "one", "two", "rep"), ["n", "one", "two"]).filter("id <> rep").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")

@@ -448,6 +448,33 @@ def test_intermediate_tables_are_deleted(spark, documents):
         assert len(left) <= 6 and out.count() == documents.count()
 
 
+def test_tables_of_few_rows_take_few_tasks(spark):
+    """Sums by source, components and long signatures are not written by as many tasks as texts are dealt to."""
+    from gristmill.llm import op6_mix, op8_forest
+
+    r, n = random.Random(6), 96
+    base = [[f"w{r.randrange(10**6)}" for _ in range(100)] for _ in range(2)]
+    texts = [" ".join(base[i % 2][:95] + [f"x{r.random()}" for _ in range(r.choice([1, 5, 30]))]) for i in range(120)]
+    df = spark.createDataFrame([(i, t, r.choice(["a", "b", "c", None])) for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1).localCheckpoint()
+    settings = {"spark.sql.shuffle.partitions": n, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, sc = {k: spark.conf.get(k) for k in settings}, spark.sparkContext
+    tasks = {}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for name, f in (("mix", op6_mix.mix), ("near", op8_forest.near_dedup)):
+            sc.setJobGroup(f"few-{name}", name)
+            f(df)
+            infos = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup(f"few-{name}") for s in sc.statusTracker().getJobInfo(j).stageIds]
+            tasks[name] = sum(x.numCompletedTasks for x in infos if x) / n
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks["mix"] < 16 and tasks["near"] < 11, tasks
+
+
 def test_exact_stage_keeps_one_of_repeated_rows(spark):
     rows = [(1, "a b", None, "s", 3), (1, "a b", None, "s", 3), (2, "A b", None, "s", 3), (2, "A b", None, "s", 3), (3, "c", None, None, 1), (3, "d", None, None, 1), (None, "e", None, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
